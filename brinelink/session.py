@@ -36,15 +36,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder named by the session.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that every machine can reach.
 
-    Used only between the rounds of an iterative job.  A folder of our own is taken
-    where the cluster names none (local tests).
+    The cluster names it; a folder of our own is taken only where it does not (local tests).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    global _own_folder
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if folder:
+        return folder.rstrip("/")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="brinelink-")
+    return _own_folder
+
+
+_own_folder: str | None = None
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder, used between the rounds of an
+    iterative job."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brinelink-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

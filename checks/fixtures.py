@@ -184,3 +184,76 @@ def delayed_profiles(spark: SparkSession, sf: str) -> DataFrame:
             (1 + eid % 3).cast("int").alias("psal_qc"),
         )
     )
+
+
+# A matchup-like table straight from the profiles: every profile once per sensor, with an
+# instrument number that is missing for some and, for some, only appears late.
+SQL["pairs"] = """select eid, sensor, argo_lat, argo_lon, argo_t, argo_oceanBasin, argo_salinity, argo_depth,
+  case when sensor = 'smap' then argo_salinity + cast((eid*7) % 41 - 15 as double)/10e0 else argo_salinity + cast((eid*11) % 61 - 40 as double)/10e0 end as sat_sss,
+  cast(lat_c as double)/100e0 as sat_lat, cast(case when lon_c < -18000 then lon_c + 36000 else lon_c end as double)/100e0 as sat_lon,
+  argo_t + (eid % 7 - 3)*1500 as sat_t, case when eid % 83 = 0 then null else argo_oceanBasin end as sat_oceanBasin, cyc,
+  case when wmo % 10 = 3 then null when wmo % 5 = 0 and cyc < 78976 then null else wmo end as wmo
+from (select eid, s.sensor, lat as argo_lat, lon as argo_lon, t as argo_t, oceanBasin as argo_oceanBasin, wmo,
+    cast(3000 + (eid % 50)*10 + 3 as double)/100e0 as argo_salinity, 3e0 as argo_depth, hc - 4 as cyc,
+    -7800 + (((wmo - 5900000) % 150)*370) % 15600 + (eid % 9 - 4)*5 as lat_c,
+    -18000 + (((wmo - 5900000) % 150)*830) % 36000 + (eid % 7 - 3)*5 as lon_c
+  from prof cross join (values ('smap'),('smos')) s(sensor)) z"""
+_NEEDS["pairs"] = ["prof"]
+
+
+def pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Matchup rows of both sensors with a ``sensor`` column."""
+    eid, wmo = F.col("eid"), F.col("wmo")
+    site = (wmo - 5900000) % 150
+    salinity = (3000 + (eid % 50) * 10 + 3).cast("double") / 100.0
+    lon_c = -18000 + (site * 830) % 36000 + (eid % 7 - 3) * 5
+    slot = F.col("hc") - 4
+    rows = prof(spark, sf).withColumn("sensor", F.explode(F.array(F.lit("smap"), F.lit("smos"))))
+    offset = F.when(F.col("sensor") == "smap", ((eid * 7) % 41 - 15).cast("double") / 10.0).otherwise(
+        ((eid * 11) % 61 - 40).cast("double") / 10.0
+    )
+    return rows.select(
+        "sensor",
+        F.col("lat").alias("argo_lat"),
+        F.col("lon").alias("argo_lon"),
+        _time(F.col("t")).alias("argo_datetime"),
+        F.col("oceanBasin").alias("argo_oceanBasin"),
+        salinity.alias("argo_salinity"),
+        F.lit(3.0).alias("argo_depth"),
+        (salinity + offset).alias("sat_sss"),
+        ((-7800 + (site * 370) % 15600 + (eid % 9 - 4) * 5).cast("double") / 100.0).alias("sat_lat"),
+        (F.when(lon_c < -18000, lon_c + 36000).otherwise(lon_c).cast("double") / 100.0).alias("sat_lon"),
+        _time(F.col("t") + (eid % 7 - 3) * 1500).alias("sat_datetime"),
+        F.when(eid % 83 != 0, F.col("oceanBasin")).alias("sat_oceanBasin"),
+        F.when((wmo % 10 == 3) | ((wmo % 5 == 0) & (slot < 78976)), None).otherwise(wmo).alias("wmo"),
+        *_slot_columns(slot),
+    )
+
+
+def pairs(spark: SparkSession, sf: str, sensor: str = "smap") -> DataFrame:
+    return pairs_all(spark, sf).where(F.col("sensor") == sensor).drop("sensor")
+
+
+# Satellite rows with a truth the corrections can learn.
+SQL["learn"] = """select lat as sat_lat, lon as sat_lon, sss as sat_sss, t as sat_t, oceanBasin as sat_oceanBasin, cyc,
+  sss - 0.5e0 - 0.05e0*abs(lat) - 0.3e0*sin(2e0*pi()*dayofyear(make_timestamp(t*1000000))/365.25e0) + (t % 7 - 3)*0.01e0 as argo_salinity
+from sat where sss between 20 and 42"""
+_NEEDS["learn"] = ["sat"]
+
+
+def learnable(spark: SparkSession, sf: str) -> DataFrame:
+    import math
+
+    sat = sat_all(spark, sf).where(F.col("sss").between(20, 42))
+    seconds = F.unix_timestamp(F.col("datetime").cast("timestamp"))
+    season = F.sin(F.lit(2 * math.pi) * F.dayofyear("datetime") / 365.25)
+    return sat.select(
+        F.col("lat").alias("sat_lat"),
+        F.col("lon").alias("sat_lon"),
+        F.col("sss").alias("sat_sss"),
+        F.col("datetime").alias("sat_datetime"),
+        F.col("oceanBasin").alias("sat_oceanBasin"),
+        (F.col("sss") - 0.5 - 0.05 * F.abs("lat") - 0.3 * season + (seconds % 7 - 3) * 0.01).alias("argo_salinity"),
+        "cycle_date",
+        "cycle_hour",
+    )
