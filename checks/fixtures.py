@@ -7,6 +7,8 @@ give the same bits.  Every row of the source table yields rows here.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,26 +236,27 @@ def pairs(spark: SparkSession, sf: str, sensor: str = "smap") -> DataFrame:
     return pairs_all(spark, sf).where(F.col("sensor") == sensor).drop("sensor")
 
 
-# Satellite rows with a truth the corrections can learn.
-SQL["learn"] = """select lat as sat_lat, lon as sat_lon, sss as sat_sss, t as sat_t, oceanBasin as sat_oceanBasin, cyc,
-  sss - 0.5e0 - 0.05e0*abs(lat) - 0.3e0*sin(2e0*pi()*dayofyear(make_timestamp(t*1000000))/365.25e0) + (t % 7 - 3)*0.01e0 as argo_salinity
-from sat where sss between 20 and 42"""
+# Satellite rows with a truth the corrections can learn, their month stretched to the three
+# years of the default split windows.
+EPOCH_2021 = 1609459200
+SQL["learn"] = """select *, sat_sss - 0.5e0 - 0.05e0*abs(sat_lat) - 0.3e0*sin(2e0*pi()*dayofyear(make_timestamp(sat_t*1000000))/365.25e0) + (sat_t % 7 - 3)*0.01e0 as argo_salinity,
+  cast(floor((sat_t+10800)/21600e0) as bigint) as cyc
+from (select lat as sat_lat, lon as sat_lon, sss as sat_sss, oceanBasin as sat_oceanBasin, 1609459200 + cast(floor((t - 1704067200)*73/2e0) as bigint) as sat_t
+  from sat where sss between 20 and 42) z"""
 _NEEDS["learn"] = ["sat"]
 
 
 def learnable(spark: SparkSession, sf: str) -> DataFrame:
-    import math
-
     sat = sat_all(spark, sf).where(F.col("sss").between(20, 42))
-    seconds = F.unix_timestamp(F.col("datetime").cast("timestamp"))
-    season = F.sin(F.lit(2 * math.pi) * F.dayofyear("datetime") / 365.25)
-    return sat.select(
+    passed = F.unix_timestamp(F.col("datetime").cast("timestamp")) - EPOCH_2024
+    seconds = F.col("sat_t")
+    season = F.sin(F.lit(2 * math.pi) * F.dayofyear(_time(seconds)) / 365.25)
+    return sat.withColumn("sat_t", EPOCH_2021 + F.floor(passed * 73 / 2)).select(
         F.col("lat").alias("sat_lat"),
         F.col("lon").alias("sat_lon"),
         F.col("sss").alias("sat_sss"),
-        F.col("datetime").alias("sat_datetime"),
+        _time(seconds).alias("sat_datetime"),
         F.col("oceanBasin").alias("sat_oceanBasin"),
         (F.col("sss") - 0.5 - 0.05 * F.abs("lat") - 0.3 * season + (seconds % 7 - 3) * 0.01).alias("argo_salinity"),
-        "cycle_date",
-        "cycle_hour",
+        *_slot_columns(F.floor((seconds + 10800) / 21600)),
     )

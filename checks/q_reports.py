@@ -241,11 +241,11 @@ _FEATURES = {
     "doy_sin": f"sin({_DOY})", "doy_cos": f"cos({_DOY})",
     **{f"basin_{i}": f"case when sat_oceanBasin = {i} then 1e0 else 0e0 end" for i in range(6)},
 }
-_FEAT = ("feat", f"select {part()} as part, argo_salinity, sat_lon, sat_t, " + ", ".join(f"{e} as {n}" for n, e in _FEATURES.items()) + " from learn")
+_FEAT = ("feat", f"select {sp.learn_part()} as part, argo_salinity, sat_lon, sat_t, " + ", ".join(f"{e} as {n}" for n, e in _FEATURES.items()) + " from learn")
 
 
 def _feature_rows(spark, sf):
-    return features.add_features(split.split_by_date(fx.learnable(spark, sf), WINDOWS))
+    return features.add_features(split.split_by_date(fx.learnable(spark, sf)))
 
 
 @check("P3_features", query(["learn"], [_FEAT], "select sat_t, " + ", ".join(f"{r(n)} as {n}" for n in _FEATURES) + " from feat"))
@@ -321,7 +321,7 @@ def _(spark, sf):
 
 @check("M3_linear_regression")
 def _(spark, sf):
-    rows = split.split_by_date(fx.learnable(spark, sf), WINDOWS)
+    rows = split.split_by_date(fx.learnable(spark, sf))
     fitted = compare.fit_corrections(rows, with_network=False)
     test = compare.apply_corrections(rows.where(F.col("partition") == "test"), fitted)
     return test.select("sat_lat", "sat_lon", "sat_sss", "argo_salinity", "pred_linreg")
@@ -329,7 +329,7 @@ def _(spark, sf):
 
 @check("M4_network_predictions")
 def _(spark, sf):
-    _, predictions = train_and_compare.fit_and_predict(fx.learnable(spark, sf), WINDOWS)
+    _, predictions = train_and_compare.fit_and_predict(fx.learnable(spark, sf))
     return predictions.select(*compare.PREDICTION_COLUMNS)
 
 
@@ -370,11 +370,11 @@ _CMP = (
     f"select 'raw' as method, sat_sss as pred, argo_salinity, sat_lat, sat_oceanBasin from lp where part = 'test' union all "
     "select 'constant_bias', sat_sss - (select avg(sat_sss - argo_salinity) from lp where part = 'train'), argo_salinity, sat_lat, sat_oceanBasin from lp where part = 'test'",
 )
-_LP = ("lp", f"select *, {part()} as part from learn")
+_LP = ("lp", f"select *, {sp.learn_part()} as part from learn")
 
 
 def _baselines(spark, sf):
-    rows = split.split_by_date(fx.learnable(spark, sf), WINDOWS)
+    rows = split.split_by_date(fx.learnable(spark, sf))
     offset = linear.fit_constant(rows.where(F.col("partition") == "train"))
     test = rows.where(F.col("partition") == "test")
     return test.withColumn("pred_raw", F.col("sat_sss")).withColumn("pred_constant", F.col("sat_sss") - F.lit(offset))

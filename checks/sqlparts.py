@@ -30,13 +30,15 @@ def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
-def part(cyc: str = "cyc") -> str:
+def part(cyc: str = "cyc", windows=(TRAIN, VAL, TEST)) -> str:
     d = cdate(cyc)
-    return (
-        f"case when {d} between '{TRAIN[0]}' and '{TRAIN[1]}' then 'train' "
-        f"when {d} between '{VAL[0]}' and '{VAL[1]}' then 'val' "
-        f"when {d} between '{TEST[0]}' and '{TEST[1]}' then 'test' end"
-    )
+    named = zip(("train", "val", "test"), windows)
+    return "case " + " ".join(f"when {d} between '{lo}' and '{hi}' then '{name}'" for name, (lo, hi) in named) + " end"
+
+
+def learn_part() -> str:
+    """Default split windows, used by the stretched model fixture."""
+    return part(windows=(("2021-01-01", "2022-12-31"), ("2023-01-15", "2023-06-30"), ("2023-07-15", "2023-12-31")))
 
 
 def query(fixtures: list[str], parts: list[tuple[str, str]], final: str) -> str:
