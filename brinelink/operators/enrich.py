@@ -67,7 +67,7 @@ def nearest_position(asked: DataFrame, positions: DataFrame, hot_cell: int = HOT
     part = F.lit(len(_CELL_SIZES) - 1)
     for i in reversed(range(len(_CELL_SIZES) - 1)):
         part = F.when(F.col("radius_km") <= _CELL_SIZES[i] * geo.KM_PER_DEGREE, F.lit(i)).otherwise(part)
-    found = nearest(bound.withColumn("part", part), placed, ["lat", "lon"], [], size, hot_cell)
+    found = nearest(bound.withColumn("part", part), placed, [], size, hot_cell)
     return found.select("lat", "lon", F.col("hit.lat").alias("near_lat"), F.col("hit.lon").alias("near_lon"))
 
 

@@ -105,7 +105,7 @@ def _valid_hits(
         .agg(F.min("cycle_idx").alias("first_cycle"))
         .withColumn("radius_km", F.lit(float(max_dist_km)))
     )
-    hits = nearest(wanted, points, [*_VARIANT, "first_cycle"], ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
+    hits = nearest(wanted, points, ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
     return hits.where(_within_limits(max_gap_s, max_abs_diff))
 
 
@@ -199,7 +199,7 @@ def same_cycle_nearest(
     rows = _profile_rows(with_cycle_idx(profiles, cycles)).withColumnRenamed("cycle_idx", "part")
     points = _sat_points(with_cycle_idx(sat, cycles))
     wanted = _reachable(rows, points, max_gap_s).withColumn("radius_km", F.lit(float(max_dist_km)))
-    hits = nearest(wanted, points, _VARIANT, ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
+    hits = nearest(wanted, points, ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
     near = hits.where(_within_limits(max_gap_s, None)).withColumnRenamed("part", "cycle_idx")
     return _matchup_columns(_named_cycle(near, cycles))
 

@@ -8,6 +8,10 @@ joined point by point.  Its points are first combined to one row per position, t
 queries walk down the nested grid against per-cell summaries, keeping only the cells
 that can still hold the nearest point.  A query therefore meets a bounded number of rows
 per cell however the points are spread, and no candidate is dropped unseen.
+
+Queries are taken to be the small side.  They are written once to the shared folder, so
+that a row number names each of them from then on; if the cells they touch are few
+enough to be broadcast, points of all other cells are left out before any shuffle.
 """
 
 from __future__ import annotations
@@ -22,42 +26,51 @@ from brinelink.session import cut_lineage
 
 HOT_CELL = 256
 MAX_LEVEL = 6
+BROADCAST_CELLS = 1_000_000
 _SLACK_KM = 1e-6
+_QUERY = ("qid", "lat", "lon", "part", "radius_km")
 
 
 def nearest(
     queries: DataFrame,
     points: DataFrame,
-    keys: Sequence[str],
     payload: Sequence[str],
     cell_deg: Column | float = 1.0,
     hot_cell: int = HOT_CELL,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
-    """Nearest point per (``keys``, ``part``).
+    """Nearest point of every query row, as the query's columns plus ``hit``.
 
-    ``queries``: ``keys`` (identity of a query, holding ``lat`` and ``lon``), ``part``, ``radius_km``.
+    ``queries``: ``lat``, ``lon``, ``part``, ``radius_km`` and any further columns.
     ``points``: ``part``, ``lat``, ``lon`` and the ``payload`` columns.
     ``cell_deg``: base cell size, a number or an expression over ``part``.
 
-    Returns ``keys``, ``part`` and ``hit`` = struct(mm, payload..., lat, lon), ``mm`` being
-    the distance in millimetres.  Points at equal distance are ranked by the payload
-    columns in order, then by position, so the answer does not depend on row order.
+    ``hit`` = struct(mm, payload..., lat, lon), ``mm`` being the distance in millimetres;
+    queries without a point in reach do not appear.  Points at equal distance are ranked
+    by the payload columns in order, then by position, so the answer does not depend on
+    row order.
     """
     h = F.lit(float(cell_deg)) if isinstance(cell_deg, (int, float)) else cell_deg
-    keys = list(keys)
+    numbered = cut_lineage(queries).withColumn("qid", F.monotonically_increasing_id())
     located = _locate_points(points, h, payload)
-    asked = _cells_of_queries(queries, keys, h)
+    asked = _cells_of_queries(numbered, h)
 
+    touched = asked.select("part", "cell").distinct().persist()
+    if touched.count() <= broadcast_cells:
+        located = located.join(F.broadcast(touched), ["part", "cell"], "left_semi")
+    else:
+        touched.unpersist()
     counts = located.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") > hot_cell).select("part", "cell")
     if hot.isEmpty():
-        found = _measure(asked, located, keys)
+        found = _measure(asked, located)
     else:
         cold_points = located.join(hot, ["part", "cell"], "left_anti")
         crowded = _one_row_per_position(located.join(hot, ["part", "cell"], "left_semi"))
         frontier = asked.join(hot, ["part", "cell"], "left_semi")
-        found = _measure(asked, cold_points, keys).unionByName(_descend(frontier, crowded, keys, h, hot_cell))
-    return found.groupBy(*keys, "part").agg(F.min("hit").alias("hit"))
+        found = _measure(asked, cold_points).unionByName(_descend(frontier, crowded, h, hot_cell))
+    best = found.groupBy("qid").agg(F.min("hit").alias("hit"))
+    return numbered.join(best, "qid").drop("qid")
 
 
 def _join_key(cell: Column) -> Column:
@@ -79,34 +92,32 @@ def _locate_points(points: DataFrame, h: Column, payload: Sequence[str]) -> Data
     return placed.withColumn("cell", _join_key(geo.level_key(F.col("x"), F.col("z"), 0)))
 
 
-def _cells_of_queries(queries: DataFrame, keys: list[str], h: Column) -> DataFrame:
+def _cells_of_queries(queries: DataFrame, h: Column) -> DataFrame:
     """One row per base cell touched by a query's disc."""
     lat, lon, radius = F.col("lat"), F.col("lon"), F.col("radius_km")
     by_band = queries.where(lat.isNotNull() & lon.isNotNull()).select(
-        *keys, "part", "radius_km", h.alias("h"), F.explode(geo.disc_bands(lat, radius, h)).alias("band")
+        *_QUERY, h.alias("h"), F.explode(geo.disc_bands(lat, radius, h)).alias("band")
     )
     band = F.col("band")
     by_cell = by_band.select(
-        *keys,
-        "part",
-        "radius_km",
+        *_QUERY,
         "band",
         geo.cells_in_band(band, F.col("h")).alias("n_cells"),
         F.explode(geo.disc_cells(lat, lon, radius, band, F.col("h"))).alias("c"),
     )
     cell = _join_key(geo.cell_key(band, F.pmod("c", "n_cells")))
-    return by_cell.select(*keys, "part", "radius_km", cell.alias("cell"))
+    return by_cell.select(*_QUERY, cell.alias("cell"))
 
 
-def _measure(asked: DataFrame, located: DataFrame, keys: list[str]) -> DataFrame:
+def _measure(asked: DataFrame, located: DataFrame) -> DataFrame:
     """Candidates inside the radius, from the cells both sides share."""
-    left = asked.withColumn("u", geo.unit_vector(F.col("lat"), F.col("lon")))
+    left = asked.select("part", "cell", "qid", "radius_km", geo.unit_vector(F.col("lat"), F.col("lon")).alias("u"))
     right = located.select("part", "cell", "point", geo.unit_vector(F.col("point.lat"), F.col("point.lon")).alias("v"))
     return (
         left.join(right, ["part", "cell"])
         .withColumn("km", geo.chord_to_km(geo.chord_squared(F.col("u"), F.col("v"))))
         .where(F.col("km") <= F.col("radius_km") + 1e-9)
-        .select(*keys, "part", F.struct(geo.distance_mm(F.col("km")).alias("mm"), "point.*").alias("hit"))
+        .select("qid", F.struct(geo.distance_mm(F.col("km")).alias("mm"), "point.*").alias("hit"))
     )
 
 
@@ -119,14 +130,14 @@ def _one_row_per_position(located: DataFrame) -> DataFrame:
     )
 
 
-def _descend(frontier: DataFrame, crowded: DataFrame, keys: list[str], h: Column, hot_cell: int) -> DataFrame:
+def _descend(frontier: DataFrame, crowded: DataFrame, h: Column, hot_cell: int) -> DataFrame:
     """Candidates out of crowded cells, one grid level per round.
 
     Each round bounds the distance to every cell from below (its disc) and from above
     (one of its points), drops the cells that cannot win, measures the small ones and
     hands the rest to the next level.
     """
-    per_query = Window.partitionBy(*keys, "part")
+    per_query = Window.partitionBy("qid")
     crowded = cut_lineage(crowded)
     found = None
     above = "cell"
@@ -151,13 +162,13 @@ def _descend(frontier: DataFrame, crowded: DataFrame, keys: list[str], h: Column
             )
             .withColumn("bound_km", F.least("radius_km", F.min("most_km").over(per_query)))
             .where(F.col("least_km") <= F.col("bound_km"))
-            .select(*keys, "part", F.col("bound_km").alias("radius_km"), F.col("below").alias("cell"), "n")
+            .select("qid", "lat", "lon", "part", F.col("bound_km").alias("radius_km"), F.col("below").alias("cell"), "n")
         )
         reached = cut_lineage(reached)
         deepest = level == MAX_LEVEL or reached.where(F.col("n") > hot_cell).isEmpty()
         here = here.drop("cell").withColumnRenamed("below", "cell")
         small = reached if deepest else reached.where(F.col("n") <= hot_cell)
-        measured = _measure(small.drop("n"), here, keys)
+        measured = _measure(small.drop("n"), here)
         found = measured if found is None else found.unionByName(measured)
         if deepest:
             return found

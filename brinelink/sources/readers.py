@@ -50,6 +50,9 @@ INDEX_SCHEMA = T.StructType(
     ]
 )
 
+# Default size of an input split.
+_SPLIT_BYTES = 128 << 20
+
 
 def read_table(
     spark: SparkSession,
@@ -77,9 +80,13 @@ def read_table(
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin an input with fewer splits than task slots."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """Round-robin an input of fewer files than task slots that is too small to be split."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size < slots * _SPLIT_BYTES else df
 
 
 def _cycles_between(df: DataFrame, start: date | None, end: date | None) -> DataFrame:
