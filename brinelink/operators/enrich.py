@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brinelink.functions import geo
 from brinelink.functions.scalars import time_gap_s
-from brinelink.operators.nearest import HOT_CELL, nearest
+from brinelink.operators.nearest import nearest
 
 PROFILE_ID = ["argo_lat", "argo_lon", "argo_datetime"]
 
@@ -17,6 +17,7 @@ PROFILE_ID = ["argo_lat", "argo_lon", "argo_datetime"]
 MAX_INDEX_DIST_KM = 1.0
 MAX_INDEX_GAP_S = 600
 
+HOT_INDEX_CELL = 64
 _CELL_SIZES = (1 / 64, 1 / 8, 1.0, 8.0, 45.0)
 
 
@@ -42,7 +43,7 @@ def _own_cell(lat: Column, lon: Column, size: Column) -> Column:
     return F.coalesce(geo.level_key(x, z, 0), F.lit(-1).cast("long"))
 
 
-def nearest_position(asked: DataFrame, positions: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
+def nearest_position(asked: DataFrame, positions: DataFrame, hot_cell: int = HOT_INDEX_CELL) -> DataFrame:
     """Nearest of ``positions`` (lat, lon) to each of ``asked`` (lat, lon), however far.
 
     One position is remembered per cell for a few cell sizes.  The remembered positions
@@ -76,7 +77,7 @@ def match_to_index(
     index: DataFrame,
     max_dist_km: float = MAX_INDEX_DIST_KM,
     max_gap_s: float = MAX_INDEX_GAP_S,
-    hot_cell: int = HOT_CELL,
+    hot_cell: int = HOT_INDEX_CELL,
 ) -> DataFrame:
     """Nearest index entry of every profile, flagged ``matched`` when close enough.
 

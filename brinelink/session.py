@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -13,9 +13,9 @@ from brinelink.functions.scalars import parse_cycle_path
 CYCLE_HOURS = ("00", "06", "12", "18")
 
 
-def cycle_slot(cycle_date: Column = F.col("cycle_date"), cycle_hour: Column = F.col("cycle_hour")) -> Column:
+def cycle_slot(cycle_date: str = "cycle_date", cycle_hour: str = "cycle_hour") -> Column:
     """Six-hour slots since the epoch; orders cycles and joins as one number."""
-    return F.unix_date(cycle_date).cast("long") * 4 + F.floor(cycle_hour.cast("int") / 6)
+    return F.unix_date(cycle_date).cast("long") * 4 + F.floor(F.col(cycle_hour).cast("int") / 6)
 
 
 def list_cycles(*tables: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:

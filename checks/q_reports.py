@@ -19,7 +19,6 @@ from checks.q_match import _GROUP, _KNOWN, _LOOKUP, _SPLIT, DELAYED, labelled
 from checks.registry import WINDOWS, check, metrics_out, rnd, rounded, secs, text
 from checks.sqlparts import cdate, gidx, part, query, r
 
-DIFF = F.col("sat_sss") - F.col("argo_salinity")
 M = sp.metrics("sat_sss", "argo_salinity")
 BAND = (
     "case when sat_lat >= -90 and sat_lat < -60 then -90 when sat_lat >= -60 and sat_lat < -30 then -60 when sat_lat >= -30 and sat_lat < 30 then -30 "
@@ -28,6 +27,10 @@ BAND = (
 BAND_HI = BAND.replace("then -90 ", "then -60_ ").replace("then -60 ", "then -30 ").replace("then -30 when sat_lat >= 30", "then 30 when sat_lat >= 30").replace("then 30 when sat_lat >= 60", "then 60 when sat_lat >= 60").replace("then 60 end", "then 90 end").replace("-60_", "-60")
 
 
+def _diff():
+    return F.col("sat_sss") - F.col("argo_salinity")
+
+
 @check("A8_error_metrics", query(["pairs"], [], f"select {M} from pairs"))
 def _(spark, sf):
     return metrics_out(metrics.error_metrics(fx.pairs_all(spark, sf), "sat_sss", "argo_salinity"))
@@ -109,7 +112,7 @@ _GRID_OUT = f"cast(count(*) as bigint) as n, case when count(*) >= 5 then {r('av
 
 @check("A17_grid_statistics", query(["pairs"], [_GRID], f"select sensor, lat_idx, lon_idx, {_GRID_OUT} from g group by sensor, lat_idx, lon_idx"))
 def _(spark, sf):
-    return rounded(grid.grid_stats(fx.pairs_all(spark, sf), "sat_lat", "sat_lon", DIFF, by=["sensor"]), "bias", "rmse")
+    return rounded(grid.grid_stats(fx.pairs_all(spark, sf), "sat_lat", "sat_lon", _diff(), by=["sensor"]), "bias", "rmse")
 
 
 @check(
@@ -122,7 +125,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    cells = grid.grid_stats(fx.pairs(spark, sf), "sat_lat", "sat_lon", DIFF)
+    cells = grid.grid_stats(fx.pairs(spark, sf), "sat_lat", "sat_lon", _diff())
     return rounded(grid.dense_grid(spark, cells), "bias", "rmse")
 
 
@@ -170,7 +173,7 @@ for _name in ("A20_coverage_grids", "D7_coverage_comparison"):
 
     @check(_name, query(["argo", "pairs"], _COVER, _COVER_OUT))
     def _(spark, sf):
-        matched = {"smap": fx.pairs(spark, sf, "smap").where(DIFF > 0), "smos": fx.pairs(spark, sf, "smos").where(DIFF < 0)}
+        matched = {"smap": fx.pairs(spark, sf, "smap").where(_diff() > 0), "smos": fx.pairs(spark, sf, "smos").where(_diff() < 0)}
         out = grid.coverage_density(coverage_scan(fx.argo_obs(spark, sf)), matched)
         return rounded(out, "log10_all", "log10_smap", "log10_smos", "vmax")
 
