@@ -29,13 +29,23 @@ class Scaler:
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
-    """One aggregate over the training rows; a constant column gets deviation 1."""
+    """One aggregate over the training rows; a constant column gets deviation 1.
+
+    Constancy is told by the extremes: merged partial variances need not be exactly zero.
+    """
     stats = train.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[
+            F.struct(
+                F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high")
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
     ).first()
-    k = len(columns)
-    if stats is None or stats[0] is None:
-        raise ValueError("no training rows")
-    stds = [stats[f"s{i}"] for i in range(k)]
-    return Scaler(tuple(columns), tuple(stats[f"m{i}"] for i in range(k)), tuple(s if s > 0 else 1.0 for s in stds))
+    means, stds = [], []
+    for s in stats:
+        if s.mean is None:
+            raise ValueError("no training rows")
+        constant = s.low == s.high
+        means.append(float(s.low if constant else s.mean))
+        stds.append(1.0 if constant else float(s.std))
+    return Scaler(tuple(columns), tuple(means), tuple(stds))

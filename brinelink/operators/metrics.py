@@ -14,17 +14,19 @@ LAT_BANDS = ((-90, -60), (-60, -30), (-30, 30), (30, 60), (60, 90))
 def metric_columns(pred: Column, actual: Column) -> list[Column]:
     """n, rmse, bias and corr over rows where both values are known.
 
-    The correlation is NULL where it is undefined (one row, or no variance).
+    The correlation is NULL where it is undefined (one row, or no variance); lack of
+    variance is told by the extremes, since merged partial variances need not be exactly 0.
     """
     known = pred.isNotNull() & actual.isNotNull()
     p, a = F.when(known, pred), F.when(known, actual)
     diff = p - a
-    spread = F.stddev_pop(p) * F.stddev_pop(a)
+    varies = (F.min(p) < F.max(p)) & (F.min(a) < F.max(a))
+    corr = F.try_divide(F.covar_pop(p, a), F.stddev_pop(p) * F.stddev_pop(a))
     return [
         F.count(diff).alias("n"),
         F.sqrt(F.avg(diff * diff)).alias("rmse"),
         F.avg(diff).alias("bias"),
-        F.try_divide(F.covar_pop(p, a), spread).alias("corr"),
+        F.when(varies, corr).alias("corr"),
     ]
 
 
