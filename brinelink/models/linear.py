@@ -30,13 +30,14 @@ def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         total = np.zeros((k, k))
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns] + [np.ones(batch.num_rows)])
+            x = x[np.isfinite(x).all(axis=1)]
             total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(upper[0].astype("int32")), pa.array(upper[1].astype("int32")), pa.array(total[upper])],
             names=["i", "j", "value"],
         )
 
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     return (
         rows.mapInArrow(products, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
     )

@@ -94,8 +94,9 @@ def _blocks(rows: DataFrame, columns: Sequence[str], target: str, is_val: Column
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             x, y, val = np.column_stack(cols[:width]), cols[width], cols[width + 1].astype(bool)
+            known = np.isfinite(x).all(axis=1) & np.isfinite(y)
             for side in (False, True):
-                chosen = val == side
+                chosen = known & (val == side)
                 if chosen.any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([side]), pa.array([x[chosen].tobytes()]), pa.array([y[chosen].tobytes()])],
@@ -103,7 +104,7 @@ def _blocks(rows: DataFrame, columns: Sequence[str], target: str, is_val: Column
                     )
 
     narrow = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(target).cast("double").alias("_y"), is_val.alias("_v"))
-    packed = narrow.dropna().mapInArrow(pack, "val boolean, x binary, y binary")
+    packed = narrow.mapInArrow(pack, "val boolean, x binary, y binary")
     return packed.rdd.map(
         lambda r: (r.val, np.frombuffer(bytes(r.x)).reshape(-1, width), np.frombuffer(bytes(r.y)))
     ).persist(StorageLevel.MEMORY_AND_DISK)

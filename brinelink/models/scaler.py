@@ -29,23 +29,22 @@ class Scaler:
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
-    """One aggregate over the training rows; a constant column gets deviation 1.
+    """One aggregate over (feature, value) rows; a constant column gets deviation 1.
 
-    Constancy is told by the extremes: merged partial variances need not be exactly zero.
+    The long form keeps the generated code small enough to be compiled however many
+    features there are.  Constancy is told by the extremes: merged partial variances need
+    not be exactly zero.
     """
-    stats = train.agg(
-        *[
-            F.struct(
-                F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high")
-            ).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    means, stds = [], []
-    for s in stats:
-        if s.mean is None:
-            raise ValueError("no training rows")
+    values = train.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("i", "v"))
+    stats = values.groupBy("i").agg(
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    means, stds = [0.0] * len(columns), [1.0] * len(columns)
+    found = stats.collect()
+    if len(found) < len(columns) or any(s.mean is None for s in found):
+        raise ValueError("no training rows")
+    for s in found:
         constant = s.low == s.high
-        means.append(float(s.low if constant else s.mean))
-        stds.append(1.0 if constant else float(s.std))
+        means[s.i] = s.low if constant else s.mean
+        stds[s.i] = 1.0 if constant else s.std
     return Scaler(tuple(columns), tuple(means), tuple(stds))

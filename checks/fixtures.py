@@ -3,17 +3,24 @@
 Each table exists twice: as a DataFrame for the library and as SQL text for an
 independent engine.  Coordinates are whole numbers divided once by a double, so both
 give the same bits.  Every row of the source table yields rows here.
+
+The DataFrames are written once per session to the shared folder and read from there, so
+that queries scan columns, as they would an archive, instead of carrying the formulas of
+the fixture into every filter.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.session import prepare
+from brinelink.session import prepare, shared_folder
 from brinelink.sources.readers import read_table
+from brinelink.sources.writers import path_exists, write_table
 
 EPOCH_2024 = 1704067200
 
@@ -76,8 +83,22 @@ def _time(seconds):
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
-def sat_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Satellite rows with both sensors' quality values."""
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write the table on first use, read it afterwards."""
+
+    @functools.wraps(build)
+    def load(spark: SparkSession, sf: str) -> DataFrame:
+        app = prepare(spark).sparkContext.applicationId
+        where = f"{shared_folder(spark)}/fixtures-{app}/{sf.strip('/').replace('/', '-')}/{build.__name__}"
+        if not path_exists(spark, f"{where}/_SUCCESS"):
+            write_table(build(spark, sf), where)
+        return read_table(spark, where)
+
+    return load
+
+
+def _sat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Satellite rows with both sensors' quality values and the time in epoch seconds."""
     site = F.col("l_partkey") % 150
     ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     raw = table(spark, sf, "lineitem").select(
@@ -97,20 +118,30 @@ def sat_all(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(
         (F.col("lat_c").cast("double") / 100.0).alias("lat"),
         (wrapped.cast("double") / 100.0).alias("lon"),
-        _time(F.col("t")).alias("datetime"),
+        "t",
         (F.col("site") % 6).cast("int").alias("oceanBasin"),
         "sss",
         "preqc_smap",
         "preqc_smos",
-        *_slot_columns(F.floor((F.col("t") + 10800) / 21600)),
     )
 
 
+@stored
+def sat_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Satellite rows with both sensors' quality values."""
+    t = F.col("t")
+    return _sat_rows(spark, sf).select(
+        "lat", "lon", _time(t).alias("datetime"), "oceanBasin", "sss", "preqc_smap", "preqc_smos",
+        *_slot_columns(F.floor((t + 10800) / 21600)),
+    )
+
+
 def sat_obs(spark: SparkSession, sf: str, sensor: str = "smap") -> DataFrame:
     other = {"smap": "preqc_smos", "smos": "preqc_smap"}[sensor]
     return sat_all(spark, sf).withColumnRenamed(f"preqc_{sensor}", "preqc").drop(other)
 
 
+@stored
 def prof(spark: SparkSession, sf: str) -> DataFrame:
     """One row per true profile."""
     eid, site = F.col("event_id"), F.col("user_id") % 150
@@ -125,6 +156,7 @@ def prof(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def argo_obs(spark: SparkSession, sf: str) -> DataFrame:
     """Nine cycle copies of every profile, four depth levels each."""
     eid, depth = F.col("eid"), F.col("level")
@@ -152,6 +184,7 @@ def _file(wmo, eid):
     return F.concat(F.lit("dac/"), wmo.cast("string"), F.lit("/"), eid.cast("string"), F.lit(".nc"))
 
 
+@stored
 def profile_index(spark: SparkSession, sf: str) -> DataFrame:
     eid = F.col("eid")
     return (
@@ -169,6 +202,7 @@ def profile_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def delayed_profiles(spark: SparkSession, sf: str) -> DataFrame:
     eid, pres = F.col("eid"), F.col("level")
     return (
@@ -203,6 +237,7 @@ from (select eid, s.sensor, lat as argo_lat, lon as argo_lon, t as argo_t, ocean
 _NEEDS["pairs"] = ["prof"]
 
 
+@stored
 def pairs_all(spark: SparkSession, sf: str) -> DataFrame:
     """Matchup rows of both sensors with a ``sensor`` column."""
     eid, wmo = F.col("eid"), F.col("wmo")
@@ -246,9 +281,10 @@ from (select lat as sat_lat, lon as sat_lon, sss as sat_sss, oceanBasin as sat_o
 _NEEDS["learn"] = ["sat"]
 
 
+@stored
 def learnable(spark: SparkSession, sf: str) -> DataFrame:
-    sat = sat_all(spark, sf).where(F.col("sss").between(20, 42))
-    passed = F.unix_timestamp(F.col("datetime").cast("timestamp")) - EPOCH_2024
+    sat = _sat_rows(spark, sf).where(F.col("sss").between(20, 42))
+    passed = F.col("t") - EPOCH_2024
     seconds = F.col("sat_t")
     season = F.sin(F.lit(2 * math.pi) * F.dayofyear(_time(seconds)) / 365.25)
     return sat.withColumn("sat_t", EPOCH_2021 + F.floor(passed * 73 / 2)).select(
