@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.llm import packing, simhash, token_counts
+from brinelink.llm import packing, passages, simhash, token_counts
 from brinelink.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.duplicate_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "from_word", "to_word")
