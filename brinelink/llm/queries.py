@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.llm import packing, passages, simhash, token_counts
+from brinelink.llm import packing, passages, simhash, templates, token_counts
 from brinelink.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.duplicate_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "from_word", "to_word")
+
+
+@query("op8_templates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "windows")
