@@ -30,9 +30,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and where each begins; null counts as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     at = at.astype(np.int64)
@@ -138,3 +140,40 @@ def reach(x: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.nda
         ok = (q < len(low)) & (low[np.clip(q, 0, len(low) - 1)] >= value)
         right = np.where(ok, right + step, right)
     return left, right
+
+
+def first_minima(x: np.ndarray, span: int) -> np.ndarray:
+    """Position of the leftmost minimum of every ``span`` neighbours."""
+    low, at, width = x, np.arange(len(x)), 1
+    steps = []
+    while width * 2 <= span:
+        steps.append(width)
+        width *= 2
+    if span - width:
+        steps.append(span - width)
+    for s in steps:
+        take = low[s:] < low[:-s]
+        at = np.where(take, at[s:], at[:-s])
+        low = np.where(take, low[s:], low[:-s])
+    return at
+
+
+class Memory:
+    """Results for pieces of text, of the last ``limit`` to twice as many that were asked for."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def known(self, pieces: list[list], code) -> dict:
+        """A dictionary that has every one of ``pieces``; ``code`` gives the results of a list of new ones."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        new = set().union(*pieces).difference(self.now)
+        if new and self.old:
+            again = new & self.old.keys()
+            self.now.update((p, self.old[p]) for p in again)
+            new -= again
+        if new:
+            order = list(new)
+            self.now.update(zip(order, code(order)))
+        return self.now
