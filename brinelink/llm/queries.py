@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.llm import langid, packing, passages, simhash, suffixes, templates, token_counts
+from brinelink.llm import langid, packing, passages, quality, simhash, subspace, suffixes, templates, token_counts
 from brinelink.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffixes")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs.where(~held_out("doc_id", 5, 0)), labels.where(~held_out("doc_id", 5, 0)))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_subspace")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
