@@ -19,6 +19,7 @@ to cut, and the counts of the pieces are remembered per Python worker.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brinelink.llm import textarrays as ta
 from brinelink.llm.common import partitions, stored
 
-#: Entries of a worker's piece memory; it starts anew beyond.
+#: Pieces that a Python worker remembers, up to twice.
 REMEMBERED = 300_000
 #: Characters near the ends of a chunk whose pre-tokens may depend on what was cut off.
 MARGIN = 16
 
+_word_and_symbols = re.compile(rb"([A-Za-z0-9]*[A-Za-z])([!-/:-@\[-`{-~]+)")
 _loaded: dict[str, object] = {}
-_counts: dict[str, dict[bytes, int]] = {}
+_counts: dict[str, ta.Memory] = {}
 
 
 def tokenizer_of(spec: str):
@@ -52,15 +55,17 @@ def tokenizer_of(spec: str):
 
 def count_short(texts: list[str], spec: str) -> list[int]:
     """Counts by pieces between ASCII white space."""
-    known = _counts.setdefault(spec, {})
-    if len(known) > REMEMBERED:
-        known.clear()
+
+    def code(new: list[bytes], known: dict[bytes, int]) -> None:
+        # from a letter to symbols up to the end there is always a cut
+        split = [m.groups() if (m := _word_and_symbols.fullmatch(p)) else (p,) for p in new]
+        whole = [c for c in set().union(*split) if c not in known]
+        coded = tokenizer_of(spec).encode_batch_fast([p.decode() for p in whole], add_special_tokens=False)
+        known.update(zip(whole, map(len, coded)))
+        known.update((p, known[c[0]] + known[c[1]]) for p, c in zip(new, split) if len(c) > 1)
+
     pieces = [t.encode().split() for t in texts]
-    new = list(set().union(*pieces).difference(known))
-    if new:
-        coded = tokenizer_of(spec).encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        known.update(zip(new, map(len, coded)))
-    return [sum(map(known.__getitem__, p)) for p in pieces]
+    return list(map(sum, _counts.setdefault(spec, ta.Memory(REMEMBERED)).results(pieces, code)))
 
 
 def encode_chunk(text: str, start: int, left: tuple[int, int], right: tuple[int, int], spec: str):
@@ -96,7 +101,7 @@ def token_counts(
     is_long = (F.octet_length("text") > chunk_chars) & (F.char_length("text") > chunk_chars)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in ta.blocks(batch)):
             counts = pa.array(count_short(b.column("text").to_pylist(), spec.value), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), counts, pa.array([1] * len(counts), pa.int64())],
@@ -153,7 +158,7 @@ def _spliced(source: DataFrame, spec, chunk: int, overlap: int, whole: bool, id_
     kept = ["uid", "doc_id", "n_bytes", "content", "n_chunks", "k"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in ta.blocks(batch, "part")):
             found = []
             for k, start, text in zip(*(b.column(c).to_pylist() for c in ("k", "begin", "part"))):
                 lo, hi = k * chunk, (k + 1) * chunk
