@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brinelink.llm import textarrays as ta
 from brinelink.llm.common import stored
 from brinelink.llm.token_counts import tokenizer_of
 
@@ -32,12 +34,31 @@ WINDOW = 2048
 SLOT = 128
 #: Slots that one task orders.
 SLOTS_PER_BUCKET = 100_000
-#: Entries of a worker's piece memory; it starts anew beyond.
-REMEMBERED = 400_000
+#: Pieces that a Python worker remembers, up to twice.
+REMEMBERED = 600_000
 
 # also a zero byte, which marks first pieces below
 _not_a_cut = re.compile(r" (?:[\s\x00]|$)")
-_ids: dict[str, dict[str, bytes]] = {}
+_word_and_symbols = re.compile(r"(\x00?\w*[^\W\d_])([^\w\s\x00]+)")
+_ids: dict[str, ta.Memory] = {}
+
+
+def _parts(piece: str) -> list[str]:
+    """A piece at further places where every byte-level pre-tokeniser cuts.
+
+    These are a single line break between visible characters, and the step from a letter to symbols up to the end.
+    """
+    lines = piece.split("\n") if "\n" in piece else [piece]
+    if len(lines) > 1 and not all(x.strip("\x00") and not x[0].isspace() and not x[-1].isspace() for x in lines):
+        return [piece]
+    out = []
+    for i, line in enumerate(lines):
+        if i:
+            out.append("\x00\n")
+            line = "\x00" + line
+        m = _word_and_symbols.fullmatch(line)
+        out += [line[: m.end(1)], "\x00" + m[2]] if m else [line]
+    return out
 
 
 def text_ids(texts: list[str], spec: str) -> list[bytes]:
@@ -46,9 +67,15 @@ def text_ids(texts: list[str], spec: str) -> list[bytes]:
     A byte-level pre-tokeniser always cuts before a space that a visible character follows, so a text is
     cut there and the ids of the pieces are remembered.
     """
-    known = _ids.setdefault(spec, {})
-    if len(known) > REMEMBERED:
-        known.clear()
+
+    def code(new: list[str], known: dict[str, bytes]) -> None:
+        split = [_parts(p) for p in new]
+        pieces = [c for c in set().union(*split) if c not in known]
+        whole = [p[1:] if p[:1] == "\x00" else " " + p for p in pieces]
+        coded = tokenizer_of(spec).encode_batch_fast(whole, add_special_tokens=False)
+        known.update((p, array("I", e.ids).tobytes()) for p, e in zip(pieces, coded))
+        known.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(new, split) if len(c) > 1)
+
     cut: list[list[str]] = []
     for text in texts:
         pieces = text.split(" ")
@@ -63,13 +90,7 @@ def text_ids(texts: list[str], spec: str) -> list[bytes]:
                     merged.append(p)
             pieces = merged
         cut.append(pieces)
-    new = list(set().union(*cut).difference(known))
-    if new:
-        whole = [p[1:] if p[0] == "\x00" else " " + p for p in new]
-        coded = tokenizer_of(spec).encode_batch_fast(whole, add_special_tokens=False)
-        for p, e in zip(new, coded):
-            known[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-    return [b"".join(map(known.__getitem__, p)) for p in cut]
+    return list(map(b"".join, _ids.setdefault(spec, ta.Memory(REMEMBERED)).results(cut, code)))
 
 
 def pack(
@@ -166,7 +187,7 @@ def _pieces(docs: DataFrame, tokenizer_path: str, end_id: int, slot: int) -> Dat
         pid = TaskContext.get().partitionId()
         reached: dict[str, int] = {}  # tokens so far, of each source in this partition
         for b in batches:
-            for part in (b.slice(s, 256) for s in range(0, len(b), 256)):
+            for part in ta.blocks(b):
                 ids = text_ids(part.column("text").to_pylist(), spec.value)
                 rows = []
                 for row, (q, doc) in enumerate(zip(part.column("queue").to_pylist(), ids)):

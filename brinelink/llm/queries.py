@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.llm import langid, packing, passages, quality, simhash, subspace, suffixes, templates, token_counts
+from brinelink.llm import langid, packing, passages, quality, simhash, subspace, suffixes, templates, token_counts, toolcalls
 from brinelink.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_subspace")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_tool_calls", toolcalls.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")))

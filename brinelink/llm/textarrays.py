@@ -159,21 +159,25 @@ def first_minima(x: np.ndarray, span: int) -> np.ndarray:
 
 
 class Memory:
-    """Results for pieces of text, of the last ``limit`` to twice as many that were asked for."""
+    """Results for pieces of text, of the last ``limit`` to twice as many different ones."""
 
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
 
-    def known(self, pieces: list[list], code) -> dict:
-        """A dictionary that has every one of ``pieces``; ``code`` gives the results of a list of new ones."""
+    def results(self, pieces: list[list], code) -> list[list]:
+        """The result of each piece of each list; ``code`` adds those of a list of new ones (never None)."""
         if len(self.now) > self.limit:
             self.now, self.old = {}, self.now
-        new = set().union(*pieces).difference(self.now)
-        if new and self.old:
-            again = new & self.old.keys()
-            self.now.update((p, self.old[p]) for p in again)
-            new -= again
-        if new:
-            order = list(new)
-            self.now.update(zip(order, code(order)))
-        return self.now
+        now = self.now
+        got = [list(map(now.get, p)) for p in pieces]
+        holes = [(g, p, [i for i, v in enumerate(g) if v is None]) for g, p in zip(got, pieces) if None in g]
+        new = {p[i] for _, p, at in holes for i in at}
+        again = new & self.old.keys()
+        now.update((p, self.old[p]) for p in again)
+        order = list(new - again)
+        if order:
+            code(order, now)
+        for g, p, at in holes:
+            for i in at:
+                g[i] = now[p[i]]
+        return got
