@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinelink.session import cut_lineage
 from brinelink.sources.writers import path_exists
 
 
@@ -55,19 +56,46 @@ def chunk_report(chunked: DataFrame, platform_col: str = "PLATFORM_NUMBER") -> D
     )
 
 
-def finished_chunks(spark: SparkSession, path: str) -> DataFrame | None:
-    """Chunks already present under ``path``, read from the partition folders."""
-    if not path_exists(spark, path):
+def manifest(path: str) -> str:
+    """Table of finished chunks beside the data: chunk_start, chunk_end, months."""
+    return f"{path.rstrip('/')}_chunks"
+
+
+def finished_chunks(spark: SparkSession, path: str, start: date, end: date, months: int) -> DataFrame | None:
+    """Wanted chunks that an earlier run finished, up to the wanted end of each.
+
+    A chunk that was written when the period ended earlier is not finished.
+    """
+    if not path_exists(spark, manifest(path)):
         return None
-    return spark.read.parquet(path).select("chunk_start").distinct()
+    done = spark.read.parquet(manifest(path))
+    other = done.where(F.col("months") != months).select("months").first()
+    if other is not None:
+        raise ValueError(f"{path} holds chunks of {other.months} months, not of {months}")
+    reached = done.groupBy("chunk_start").agg(F.max("chunk_end").alias("reached"))
+    wanted = month_chunks(spark, start, end, months)
+    return wanted.join(reached, "chunk_start").where("reached >= chunk_end").select("chunk_start", "chunk_end")
 
 
 def backfill(rows: DataFrame, path: str, start: date, end: date, months: int = 3, **columns) -> None:
-    """Write the chunks not yet under ``path``; each is replaced whole, the others stay."""
-    todo = pending_rows(rows, start, end, months, finished_chunks(rows.sparkSession, path), **columns)
+    """Write the chunks not yet finished under ``path``; each is replaced whole, the others stay.
+
+    The chunks are recorded after their rows are in place, empty ones too, so a run that ends
+    in between, or in the middle of a chunk's months, is made good by the next.
+    """
+    spark = rows.sparkSession
+    done = finished_chunks(spark, path, start, end, months)
+    todo = pending_rows(rows, start, end, months, done, **columns)
+    pending = month_chunks(spark, start, end, months)
+    if done is not None:
+        pending = pending.join(done.select("chunk_start"), "chunk_start", "left_anti")
+    pending = cut_lineage(pending.withColumn("months", F.lit(months)))
+    if pending.isEmpty():
+        return
     (
         todo.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("chunk_start")
         .parquet(path)
     )
+    pending.coalesce(1).write.mode("append").parquet(manifest(path))
