@@ -27,7 +27,6 @@ PATIENCE = 20
 MIN_IMPROVEMENT = 1e-6
 SEED = 0
 
-_FLAT_SUM_LIMIT = 64
 
 
 @dataclass
@@ -129,8 +128,7 @@ def _one_pass(blocks, network: Network) -> tuple[np.ndarray, float, int, float,
         yield total
 
     sums = blocks.mapPartitions(add_up)
-    many = blocks.getNumPartitions() > _FLAT_SUM_LIMIT
-    total = sums.treeReduce(np.add, depth=3) if many else sums.reduce(np.add)
+    total = sums.treeReduce(np.add, depth=3)
     return total[:size], total[-4], int(total[-3]), total[-2], int(total[-1])
 
 

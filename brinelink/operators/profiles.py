@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinelink.functions import quality as q
@@ -18,6 +19,28 @@ def with_true_time(argo: DataFrame) -> DataFrame:
     return argo.withColumn("datetime", q.epoch_to_time(F.col("original_datetime"))).drop("original_datetime")
 
 
+def usable_condition(
+    sensor: str, min_salinity: float = q.MIN_SALINITY, max_salinity: float = q.MAX_SALINITY
+) -> Column:
+    """What ``usable_sat`` keeps, as plain comparisons of stored columns that a scan can use.
+
+    NaN lies above every limit, so it passes neither.
+    """
+    return q.QUALITY_RULES[sensor](F.col("preqc")) & F.col("sss").between(min_salinity, max_salinity)
+
+
+def near_surface_condition(
+    max_depth: float = q.MAX_DEPTH, min_salinity: float = q.MIN_SALINITY, max_salinity: float = q.MAX_SALINITY
+) -> Column:
+    """What ``near_surface_levels`` keeps, as plain comparisons of stored columns that a scan can use."""
+    low, high = (int(t.replace(tzinfo=timezone.utc).timestamp()) for t in (q.EARLIEST_TIME, q.LATEST_TIME))
+    return (
+        (F.col("depth") <= max_depth)
+        & F.col("salinity").between(min_salinity, max_salinity)
+        & F.col("original_datetime").between(low, high)
+    )
+
+
 def near_surface_levels(
     argo: DataFrame,
     max_depth: float = q.MAX_DEPTH,

@@ -8,6 +8,7 @@ from brinelink.functions import quality as q
 from brinelink.operators.match import match_diagnostics, same_cycle_nearest
 from brinelink.operators.profiles import argo_profiles, usable_sat
 from brinelink.operators.summaries import argo_funnel, funnel_totals, sat_funnel
+from brinelink.session import cut_lineage
 from brinelink.sources.cycles import list_cycles
 
 
@@ -19,6 +20,6 @@ def quality_report(
     Pairs are counted within each profile's own cycle and without deduplication, so they
     are not the rows of the matchup table.
     """
-    cycles = list_cycles(argo, sat).persist()
+    cycles = cut_lineage(list_cycles(argo, sat))
     pairs = same_cycle_nearest(argo_profiles(argo), usable_sat(sat, sensor), cycles)
     return funnel_totals(sat_funnel(sat, sensor), argo_funnel(argo), match_diagnostics(pairs, max_abs_diff))

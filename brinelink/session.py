@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
@@ -40,14 +43,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that every machine can reach.
 
-    The cluster names it; a folder of our own is taken only where it does not (local tests).
+    The cluster names it in spark.checkpoint.dir; on a single machine a folder of our own is
+    taken where it does not, and removed at the end of the program.
     """
     global _own_folder
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that every machine can reach")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="brinelink-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return _own_folder
 
 

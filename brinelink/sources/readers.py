@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,6 @@ INDEX_SCHEMA = T.StructType(
     ]
 )
 
-# Default size of an input split.
-_SPLIT_BYTES = 128 << 20
-
-
 def read_table(
     spark: SparkSession,
     path: str,
@@ -64,9 +60,7 @@ def read_table(
     """Parquet scan of named columns only, NaN turned into NULL.
 
     With ``skip_bad_files`` an unreadable or vanished file contributes no rows instead
-    of failing the job.  An input that comes as fewer splits than the session has task
-    slots (a lone small file) is spread before any row is multiplied; a table of many
-    files is left as it is.
+    of failing the job.
     """
     reader = spark.read
     if schema is not None:
@@ -76,17 +70,7 @@ def read_table(
     df = reader.parquet(path)
     if columns is not None:
         df = df.select(*columns)
-    return spread_small_input(nan_to_null(df))
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin an input of fewer files than task slots that is too small to be split."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if size < slots * _SPLIT_BYTES else df
+    return nan_to_null(df)
 
 
 def _cycles_between(df: DataFrame, start: date | None, end: date | None) -> DataFrame:
@@ -98,29 +82,61 @@ def _cycles_between(df: DataFrame, start: date | None, end: date | None) -> Data
 
 
 def read_sat_obs(
-    spark: SparkSession, path: str, sensor: str, start: date | None = None, end: date | None = None
+    spark: SparkSession,
+    path: str,
+    sensor: str,
+    start: date | None = None,
+    end: date | None = None,
+    where: Column | None = None,
+    skip_bad_files: bool = False,
 ) -> DataFrame:
-    """Satellite observations of one sensor; sensor and dates prune partitions (both ends inclusive)."""
-    df = read_partitioned(spark, path, SAT_SCHEMA).where(F.col("sensor") == sensor)
+    """Satellite observations of one sensor; sensor and dates prune partitions (both ends inclusive).
+
+    ``where`` is applied to the columns as stored, so that plain comparisons such as those of
+    ``profiles.usable_condition`` reach the Parquet scan.
+    """
+    here = F.col("sensor") == sensor
+    df = read_partitioned(spark, path, SAT_SCHEMA, here if where is None else here & where, skip_bad_files)
     return _cycles_between(df, start, end)
 
 
-def read_argo_obs(spark: SparkSession, path: str, start: date | None = None, end: date | None = None) -> DataFrame:
-    """In-situ observations, one row per depth level."""
-    return _cycles_between(read_partitioned(spark, path, ARGO_SCHEMA), start, end)
+def read_argo_obs(
+    spark: SparkSession,
+    path: str,
+    start: date | None = None,
+    end: date | None = None,
+    where: Column | None = None,
+    skip_bad_files: bool = False,
+) -> DataFrame:
+    """In-situ observations, one row per depth level; ``where`` as in ``read_sat_obs``."""
+    return _cycles_between(read_partitioned(spark, path, ARGO_SCHEMA, where, skip_bad_files), start, end)
+
 
+def read_partitioned(
+    spark: SparkSession, path: str, schema: T.StructType, where: Column | None = None, skip_bad_files: bool = False
+) -> DataFrame:
+    """Hive-partitioned tree; an absent tree gives no rows.
 
-def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Hive-partitioned tree; an absent tree and absent or unreadable files give no rows."""
+    Absent or unreadable files fail the job unless ``skip_bad_files`` says that they are to be
+    left out; ``files_without_rows`` tells which those are.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    df = (
-        spark.read.schema(schema)
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .parquet(path)
-    )
-    return nan_to_null(df)
+    skip = str(skip_bad_files).lower()
+    df = spark.read.schema(schema).option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip).parquet(path)
+    return nan_to_null(df if where is None else df.where(where))
+
+
+def files_without_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet files under ``path`` that a read with ``skip_bad_files`` gets nothing from: path, length.
+
+    They are damaged or empty. Only file names and row groups are read, no columns.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = files.select(F.col("_metadata.file_path").alias("path"), "length")
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    gave = reader.parquet(path).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return files.join(gave, "path", "left_anti")
 
 
 def read_profile_index(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
