@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from brinelink.functions import geo
 from brinelink.functions import quality as q
 from brinelink.functions.scalars import micros
-from brinelink.operators.nearest import HOT_CELL, nearest
-from brinelink.operators.profiles import argo_profiles, usable_sat
+from brinelink.operators.nearest import HOT_CELL, nearest, within
+from brinelink.operators.profiles import argo_profiles, usable_condition, usable_sat
+from brinelink.session import cut_lineage
 from brinelink.sources.cycles import list_cycles, with_cycle_idx
 
 _VARIANT = ["lat", "lon", "t", "oceanBasin", "salinity", "depth"]
@@ -33,14 +34,24 @@ def _cycle_spans(points: DataFrame) -> DataFrame:
     return points.groupBy("part").agg(F.min("sat_t").alias("first_t"), F.max("sat_t").alias("last_t"))
 
 
-def _reachable(wanted: DataFrame, points: DataFrame, max_gap_s: float) -> DataFrame:
+def _cycles_and_spans(argo: DataFrame, sat: DataFrame, usable: Column) -> tuple[DataFrame, DataFrame]:
+    """Cycles of both tables, and of each the first and last usable satellite time, in one pass over ``sat``."""
+    t = F.when(usable, micros(F.col("datetime")))
+    seen = sat.groupBy("cycle_date", "cycle_hour").agg(F.min(t).alias("first_t"), F.max(t).alias("last_t"))
+    seen = cut_lineage(seen)  # four rows a day
+    cycles = cut_lineage(list_cycles(argo, seen))
+    spans = with_cycle_idx(seen, cycles).select(F.col("cycle_idx").alias("part"), "first_t", "last_t")
+    return cycles, spans.where("first_t is not null")
+
+
+def _reachable(wanted: DataFrame, spans: DataFrame, max_gap_s: float) -> DataFrame:
     """Drop (profile, cycle) rows whose cycle has no observation near the profile in time.
 
     Exact: the nearest observation of such a cycle fails the time limit whatever it is.
     """
     gap = F.lit(int(max_gap_s * 1e6))
     return (
-        wanted.join(F.broadcast(_cycle_spans(points)), "part")
+        wanted.join(F.broadcast(spans), "part")
         .where(F.col("t").between(F.col("first_t") - gap, F.col("last_t") + gap))
         .drop("first_t", "last_t")
     )
@@ -91,6 +102,7 @@ def _valid_hits(
     max_abs_diff: float,
     window: int,
     hot_cell: int,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Valid nearest observation per (profile, searched cycle).
 
@@ -100,7 +112,7 @@ def _valid_hits(
     """
     copies = profiles.withColumn("part", F.explode(F.sequence(F.col("cycle_idx") - window, F.col("cycle_idx") + window)))
     wanted = (
-        _reachable(copies, points, max_gap_s)
+        _reachable(copies, _cycle_spans(points) if spans is None else spans, max_gap_s)
         .groupBy(*_VARIANT, "part")
         .agg(F.min("cycle_idx").alias("first_cycle"))
         .withColumn("radius_km", F.lit(float(max_dist_km)))
@@ -118,15 +130,23 @@ def match_windowed(
     max_abs_diff: float = q.MAX_ABS_DIFF,
     window: int = q.CYCLE_WINDOW,
     hot_cell: int = HOT_CELL,
+    mode: str = "cycle_nearest",
 ) -> DataFrame:
     """Best match of every (profile, cycle) row over the cycles within ``window`` of its own.
 
-    In each searched cycle only the spatially nearest observation is considered; it must
-    then pass the distance, time and difference limits (all inclusive).  Over the
-    cycles the smallest distance wins, the earlier cycle on a tie.
+    ``cycle_nearest``: in each searched cycle only the spatially nearest observation is
+    considered; it must then pass the distance, time and difference limits (all inclusive).
+    ``best_valid``: the limits come first, so a nearer observation that fails one hides nothing.
+    Over the cycles the smallest distance wins, the earlier cycle on a tie, then the earlier time.
     """
-    rows = _profile_rows(with_cycle_idx(profiles, cycles))
+    if mode not in ("cycle_nearest", "best_valid"):
+        raise ValueError(f"unknown mode {mode}")
+    # kept, so that the means are the same numbers wherever the rows are used
+    rows = cut_lineage(_profile_rows(with_cycle_idx(profiles, cycles)))
     points = _sat_points(with_cycle_idx(sat, cycles))
+    if mode == "best_valid":
+        best = _best_valid(rows, points, max_dist_km, max_gap_s, max_abs_diff, window)
+        return _matchup_columns(_named_cycle(best, cycles))
     hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
     best = (
         rows.join(hits.drop("first_cycle"), _VARIANT)
@@ -138,6 +158,28 @@ def match_windowed(
     return _matchup_columns(_named_cycle(best, cycles))
 
 
+def _best_valid(
+    rows: DataFrame, points: DataFrame, max_dist_km: float, max_gap_s: float, max_abs_diff: float, window: int
+) -> DataFrame:
+    """Nearest of the observations that pass all limits, for every profile row.
+
+    Both sides meet in time slices as long as the gap allowed and in grid cells, a profile in
+    three slices. Limits that depend on the pair leave no bound to prune crowded cells with,
+    so such a cell is joined pair by pair within its slice.
+    """
+    gap = max(1, int(max_gap_s * 1e6))
+    numbered = rows.withColumn("qid", F.monotonically_increasing_id()).withColumn("radius_km", F.lit(float(max_dist_km)))
+    here = F.floor(F.col("t") / gap)
+    asked = numbered.select("qid", "lat", "lon", "radius_km", F.explode(F.sequence(here - 1, here + 1)).alias("part"))
+    placed = points.withColumnRenamed("part", "sat_cycle").withColumn("part", F.floor(F.col("sat_t") / gap))
+    near = within(asked, placed, ["sat_cycle", "sat_t", "sss", "sat_basin"])
+    valid = near.join(numbered.select("qid", "t", "salinity", "cycle_idx"), "qid").where(
+        _within_limits(max_gap_s, max_abs_diff) & (F.abs(F.col("cycle_idx") - F.col("hit.sat_cycle")) <= window)
+    )
+    best = valid.groupBy("qid").agg(F.min("hit").alias("hit"))
+    return numbered.join(best, "qid")
+
+
 def build_matchups(
     argo: DataFrame,
     sat: DataFrame,
@@ -159,12 +201,14 @@ def build_matchups(
     earliest one with a match survives, so one minimum per profile settles cycle,
     distance and tie.
     """
-    cycles = list_cycles(argo, sat).persist() if cycles is None else cycles
+    spans = None
+    if cycles is None:
+        cycles, spans = _cycles_and_spans(argo, sat, usable_condition(sensor, min_salinity, max_salinity))
     profiles = argo_profiles(argo, max_depth=max_depth, min_salinity=min_salinity, max_salinity=max_salinity)
     usable = usable_sat(sat, sensor, min_salinity, max_salinity)
     rows = _profile_rows(with_cycle_idx(profiles, cycles))
     points = _sat_points(with_cycle_idx(usable, cycles))
-    hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
+    hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell, spans)
     order = F.struct("first_cycle", "oceanBasin", "hit.mm", "part", "salinity", "depth", "hit")
     kept = (
         hits.groupBy("lat", "lon", "t")
@@ -198,7 +242,7 @@ def same_cycle_nearest(
     """Space-time candidates of each (profile, cycle) row in its own cycle, before the gross check."""
     rows = _profile_rows(with_cycle_idx(profiles, cycles)).withColumnRenamed("cycle_idx", "part")
     points = _sat_points(with_cycle_idx(sat, cycles))
-    wanted = _reachable(rows, points, max_gap_s).withColumn("radius_km", F.lit(float(max_dist_km)))
+    wanted = _reachable(rows, _cycle_spans(points), max_gap_s).withColumn("radius_km", F.lit(float(max_dist_km)))
     hits = nearest(wanted, points, ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
     near = hits.where(_within_limits(max_gap_s, None)).withColumnRenamed("part", "cycle_idx")
     return _matchup_columns(_named_cycle(near, cycles))

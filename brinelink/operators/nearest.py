@@ -10,8 +10,9 @@ that can still hold the nearest point.  A query therefore meets a bounded number
 per cell however the points are spread, and no candidate is dropped unseen.
 
 Queries are taken to be the small side.  They are written once to the shared folder, so
-that a row number names each of them from then on; if the cells they touch are few
-enough to be broadcast, points of all other cells are left out before any shuffle.
+that a row number names each of them from then on.  Points of cells that no query touches
+are left out by a semi-join on the key of the join that follows, and what is left is kept
+in the shared folder: the points are read once, whatever their number and spread.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from brinelink.session import cut_lineage
 
 HOT_CELL = 256
 MAX_LEVEL = 6
-BROADCAST_CELLS = 1_000_000
 _SLACK_KM = 1e-6
 _QUERY = ("qid", "lat", "lon", "part", "radius_km")
 
@@ -37,7 +37,6 @@ def nearest(
     payload: Sequence[str],
     cell_deg: Column | float = 1.0,
     hot_cell: int = HOT_CELL,
-    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Nearest point of every query row, as the query's columns plus ``hit``.
 
@@ -55,11 +54,8 @@ def nearest(
     located = _locate_points(points, h, payload)
     asked = _cells_of_queries(numbered, h)
 
-    touched = asked.select("part", "cell").distinct().persist()
-    if touched.count() <= broadcast_cells:
-        located = located.join(F.broadcast(touched), ["part", "cell"], "left_semi")
-    else:
-        touched.unpersist()
+    touched = asked.select("part", "cell").distinct()
+    located = cut_lineage(located.join(touched, ["part", "cell"], "left_semi"))
     counts = located.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") > hot_cell).select("part", "cell")
     if hot.isEmpty():
@@ -73,6 +69,17 @@ def nearest(
     return numbered.join(best, "qid").drop("qid")
 
 
+def within(
+    queries: DataFrame, points: DataFrame, payload: Sequence[str], cell_deg: float = 1.0
+) -> DataFrame:
+    """All points within the radius of every query: ``qid`` and ``hit`` as in ``nearest``.
+
+    ``queries`` has ``qid`` besides; a query may come with several parts.
+    """
+    h = F.lit(float(cell_deg))
+    return _measure(_cells_of_queries(queries, h), _locate_points(points, h, payload))
+
+
 def _join_key(cell: Column) -> Column:
     """Declare a cell number never null, so a join adds no null test that would be
     pushed down and evaluate the whole expression a second time at the scan."""

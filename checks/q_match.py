@@ -47,6 +47,17 @@ def _(spark, sf):
     return matchup_out(match.match_windowed(*_inputs(spark, sf, "smos"), max_abs_diff=3.0, window=0))
 
 
+@check("J1_windowed_nearest_best_valid", query(["sat", "argo"], sp.best_valid_parts("smap"), sp.matchup_select("best")))
+def _(spark, sf):
+    return matchup_out(match.match_windowed(*_inputs(spark, sf, "smap"), max_abs_diff=3.0, mode="best_valid"))
+
+
+@check("J1_windowed_nearest_crowded_cells", query(["sat", "argo"], sp.matched_parts("smap"), sp.matchup_select("best")))
+def _(spark, sf):
+    """The same with cells that count as crowded from two observations on, so that most queries walk down the grid."""
+    return matchup_out(match.match_windowed(*_inputs(spark, sf, "smap"), max_abs_diff=3.0, hot_cell=1))
+
+
 for _sensor in ("smap", "smos"):
 
     @check(f"J2_build_matchups_{_sensor}", query(["sat", "argo"], sp.matchup_parts(_sensor), sp.matchup_select("matchups")))

@@ -113,6 +113,19 @@ def matched_parts(sensor: str, window: int = 4, max_diff: float = 3.0):
     ]
 
 
+def best_valid_parts(sensor: str, window: int = 4, max_diff: float = 3.0, max_gap: int = 10800):
+    """Nearest of all observations that pass the limits, for every (profile, cycle) row."""
+    return [part for part in nearest_parts(sensor, window, max_diff) if part[0] != "hits"] + [
+        (
+            "best",
+            "select * from (select h.*, v.cyc, row_number() over (partition by h.lat, h.lon, h.t, h.oceanBasin, h.salinity, h.depth, v.ci "
+            "order by h.mm, h.j, h.st, h.sss, h.sb, h.slat, h.slon) as rn2 from cand h join v on h.lat = v.lat and h.lon = v.lon and h.t = v.t "
+            "and h.oceanBasin = v.oceanBasin and h.salinity = v.salinity and h.depth = v.depth "
+            f"and abs(v.ci - h.j) <= {window} where abs(h.t - h.st) <= {max_gap} and abs(h.sss - h.salinity) <= {max_diff}) z where rn2 = 1",
+        )
+    ]
+
+
 def matchup_parts(sensor: str, window: int = 4, max_diff: float = 3.0):
     """The deduplicated matchup table."""
     return matched_parts(sensor, window, max_diff) + [

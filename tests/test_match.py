@@ -42,6 +42,24 @@ def test_nearer_at_wrong_time_hides_within_a_cycle(spark):
     assert run(spark, [argo_row(0.0, 0.0, 12.0, 35.0, 2)], sat) == []
 
 
+def test_best_valid_hides_nothing(spark):
+    sat = [sat_row(0.0, 0.05, 17.0, 35.0, 2), sat_row(0.0, 0.1, 12.0, 60.0, 2), sat_row(0.0, 0.2, 12.0, 35.1, 2), sat_row(0.0, 0.2, 12.5, 35.1, 1)]
+    argo, sat = tables(spark, [argo_row(0.0, 0.0, 12.0, 35.0, 2), argo_row(0.0, 0.0, 12.0, 35.0, 9)], sat)
+    cycles = list_cycles(argo, sat)
+    rows = match_windowed(argo_profiles(argo), sat, cycles, mode="best_valid", window=1).collect()
+    assert [(m.sat_sss, m.sat_datetime, m.cycle_hour) for m in rows if m.cycle_hour == cycle(2)[1]] == [(35.1, T0 + timedelta(hours=12.5), cycle(2)[1])]
+    with pytest.raises(ValueError):
+        match_windowed(argo_profiles(argo), sat, cycles, mode="other")
+
+
+def test_levels_of_a_profile_in_many_files(spark):
+    """Means must be the same numbers wherever they are used, whatever the order of the levels."""
+    levels = [argo_row(0.0, 0.01 * p, 12.0, 35.0 + i / 7, 2, depth=0.1 + i / 3) for p in range(20) for i in range(13)]
+    argo, sat = tables(spark, levels, [sat_row(0.0, 0.1, 12.0, 36.0, 2)])
+    rows = match_windowed(argo_profiles(argo.repartition(17)), sat, list_cycles(argo, sat)).collect()
+    assert len(rows) == 20
+
+
 def test_other_cycle_is_not_hidden(spark):
     sat = [sat_row(0.0, 0.05, 17.0, 35.0, 2), sat_row(0.0, 0.2, 10.0, 35.1, 1)]
     (m,) = run(spark, [argo_row(0.0, 0.0, 12.0, 35.0, 2)], sat)

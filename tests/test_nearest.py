@@ -63,9 +63,9 @@ def test_spread_positions(spark, radius):
     assert spark_nearest(spark, queries, points, radius) == brute(queries, points, radius)
 
 
-def test_without_broadcast_of_touched_cells(spark):
+def test_untouched_cells_are_left_out(spark):
     queries, points = spread_case(2)
-    assert spark_nearest(spark, queries, points, 50.0, broadcast_cells=0) == brute(queries, points, 50.0)
+    assert spark_nearest(spark, queries, points, 50.0) == brute(queries, points, 50.0)
 
 
 @pytest.mark.parametrize("hot_cell", [1, 3, 20])
