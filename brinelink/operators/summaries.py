@@ -10,49 +10,54 @@ from pyspark.sql import functions as F
 from brinelink.functions import quality as q
 from brinelink.operators.profiles import CYCLE, PROFILE_KEY, profile_means, with_true_time
 
-_BUCKETS = 1024
+#: Rank error of the sketch that brackets a percentile, as a part of the group.
+_SKETCH = 10_000
+#: A group of no more rows is its own bracket.
+_SMALL_GROUP = 20_000
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated percentiles per group, without holding a group in one task.
 
-    A histogram of each group tells which buckets hold the wanted ranks; only the
-    values of those buckets are then counted and ranked.  ``probs`` maps output column
-    names to fractions.
+    A sketch of each group brackets every wanted rank between two of its values that lie less than
+    a thousandth of the group apart; only the different values inside are ranked, and those below
+    are counted. Brackets follow the data, so outliers do not widen them. ``probs`` maps output
+    column names to fractions.
     """
     by = list(by)
     keyed = df.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0).alias("_")).alias("g"), F.col(value).alias("v"))
-    span = keyed.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    width = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    bucket = F.coalesce(F.least(F.floor(width * _BUCKETS), F.lit(_BUCKETS - 1)), F.lit(0)).cast("int")
-    counts = (
-        keyed.groupBy("g", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .join(span, "g")
-        .select("g", "v", "c", "n", bucket.alias("b"))
-    )
-    histogram = counts.groupBy("g", "b").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
-    running = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.withColumn("upto", F.sum("c").over(running)).withColumn("before", F.col("upto") - F.col("c"))
+    delta = 4 / _SKETCH
+    ends = [[max(0.0, p - delta), min(1.0, p + delta)] for p in probs.values()]
+    sketch = F.percentile_approx("v", [float(x) for pair in ends for x in pair], _SKETCH)
+    span = keyed.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), sketch.alias("q"))
+    small = F.col("n") <= _SMALL_GROUP
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"), end(F.lit(float(p)) * (F.col("n") - 1)).cast("long").alias("rank"))
-            for name, p in probs.items()
-            for end in (F.floor, F.ceil)
+            F.struct(
+                F.lit(name).alias("name"),
+                (F.lit(float(p)) * (F.col("n") - 1)).alias("pos"),
+                F.when(small, F.col("lo")).otherwise(F.col("q")[2 * i]).alias("from"),
+                F.when(small, F.col("hi")).otherwise(F.col("q")[2 * i + 1]).alias("to"),
+            )
+            for i, (name, p) in enumerate(probs.items())
         ]
-    )
-    targets = (
-        ranked.select("g", "b", "before", "upto", F.explode(F.array_distinct(wanted)).alias("w"))
-        .where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("upto")))
-        .groupBy("g", "b", "before")
-        .agg(F.collect_list("w").alias("ws"))
     )
-    inside = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    brackets = span.select("g", wanted.alias("ws"))
+    if not by:
+        brackets = F.broadcast(brackets)  # one row
+    counts = keyed.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    placed = counts.join(brackets, "g").select("g", "v", "c", F.explode("ws").alias("w")).where(F.col("v") <= F.col("w.to"))
+    inside = F.col("v") >= F.col("w.from")
+    key = ["g", "w"]
+    below = placed.groupBy(*key).agg(F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("before"))
+    running = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.where(inside).withColumn("upto", F.sum("c").over(running)).join(below, key)
+    ranked = ranked.withColumn("top", F.col("before") + F.col("upto"))
+    ends_of = F.explode(F.array_distinct(F.array(F.floor("w.pos"), F.ceil("w.pos")))).alias("rank")
     values = (
-        counts.join(targets, ["g", "b"])
-        .withColumn("top", F.col("before") + F.sum("c").over(inside))
-        .select("g", "v", "top", "c", F.explode("ws").alias("w"))
-        .where((F.col("w.rank") < F.col("top")) & (F.col("w.rank") >= F.col("top") - F.col("c")))
+        ranked.select("g", "v", "top", "c", "w", ends_of)
+        .where((F.col("rank") < F.col("top")) & (F.col("rank") >= F.col("top") - F.col("c")))
+        .select("g", "v", F.struct("w.name", "w.pos", "rank").alias("w"))
     )
     share = F.when(F.floor("w.pos") == F.ceil("w.pos"), F.lit(1.0)).when(
         F.col("w.rank") == F.floor("w.pos"), 1.0 - (F.col("w.pos") - F.floor("w.pos"))

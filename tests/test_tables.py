@@ -9,7 +9,7 @@ from brinelink.functions import quality as q
 from brinelink.functions.scalars import one_hot, prefer_adjusted
 from brinelink.models import compare, linear, network
 from brinelink.models.scaler import Scaler, fit_scaler
-from brinelink.operators import extra_qc, grid, groups, metrics, split, summaries
+from brinelink.operators import extra_qc, grid, groups, metrics, profiles, split, summaries
 from brinelink.operators.features import FEATURE_COLUMNS, add_features, add_residual
 from brinelink.sources import backfill, readers, writers
 from brinelink.streaming.scoring import correct_stream, write_corrected
@@ -84,6 +84,16 @@ def test_exact_percentiles_equal_numpy(spark, n):
         assert [got[g].a, got[g].b, got[g].c] == pytest.approx(list(np.percentile(mine, [25, 50, 95])), abs=1e-9)
 
 
+def test_percentile_brackets_follow_the_data(spark):
+    """An outlier must not put all other values into one task."""
+    df = spark.range(0, 400_000, 1, 8).select(F.rand(3).alias("v")).union(spark.range(1).select(F.lit(1e9)))
+    values = np.sort(np.array([r.v for r in df.collect()]))
+    got = one(summaries.exact_percentiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.999}))
+    assert list(got) == pytest.approx(list(np.percentile(values, [25, 50, 99.9])), abs=1e-12)
+    sketch = df.agg(F.percentile_approx("v", [0.5 - 4e-4, 0.5 + 4e-4], 10_000)).first()[0]
+    assert 0 < ((values >= sketch[0]) & (values <= sketch[1])).sum() < 0.002 * len(values)
+
+
 def test_percentiles_of_one_repeated_value(spark):
     df = spark.range(10000).select(F.lit(3.5).alias("v"))
     assert one(summaries.exact_percentiles(df, "v", {"m": 0.5})).m == 3.5
@@ -212,11 +222,48 @@ def test_unreadable_and_absent_files_give_no_rows(spark, tmp_path):
     path = f"{tmp_path}/sat"
     writers.write_table(spark.createDataFrame([(1.0, NAN)], "lat double, sss double"), path)
     (tmp_path / "sat" / "part-broken.parquet").write_bytes(b"not parquet")
-    rows = readers.read_partitioned(spark, path, readers.SAT_SCHEMA).collect()
+    with pytest.raises(Exception, match="(?i)part-broken"):
+        readers.read_partitioned(spark, path, readers.SAT_SCHEMA).collect()
+    rows = readers.read_partitioned(spark, path, readers.SAT_SCHEMA, skip_bad_files=True).collect()
+    skipped = readers.files_without_rows(spark, path, readers.SAT_SCHEMA).collect()
+    assert ("part-broken.parquet", 11) in [(r.path.rsplit("/", 1)[1], r.length) for r in skipped]
     assert [(r.lat, r.sss) for r in rows] == [(1.0, None)]
     assert readers.read_partitioned(spark, f"{tmp_path}/none", readers.SAT_SCHEMA).isEmpty()
 
 
+def test_limits_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    sat = "lat double, lon double, datetime timestamp_ntz, oceanBasin int, sss double, preqc int, sensor string, cycle_date date, cycle_hour string"
+    rows = [(1.0, 1.0, T0, 1, v, 0, "smap", date(2021, 1, 1), "00") for v in (35.0, NAN, None, 1.0)]
+    writers.write_table(spark.createDataFrame(rows, sat), f"{tmp_path}/sat")
+    read = readers.read_sat_obs(spark, f"{tmp_path}/sat", "smap", where=profiles.usable_condition("smap"))
+    plan = profiles.usable_sat(read, "smap")._jdf.queryExecution().executedPlan().toString()
+    for bound in ("LessThanOrEqual(sss,42.0)", "GreaterThanOrEqual(sss,20.0)", "EqualTo(preqc,0)", "EqualTo(sensor,smap)"):
+        assert bound in plan
+    assert [r.sss for r in read.collect()] == [35.0]
+    argo = "lat double, lon double, oceanBasin int, original_datetime bigint, datetime timestamp_ntz, depth double, salinity double, cycle_date date, cycle_hour string"
+    rows = [(1.0, 1.0, 1, t, T0, d, 35.0, date(2021, 1, 1), "00") for t, d in ((10**9, 1.0), (10**9, NAN), (10**9, 9.0), (0, 1.0), (1893456000, 5.0), (1893456001, 5.0))]
+    writers.write_table(spark.createDataFrame(rows, argo), f"{tmp_path}/argo")
+    read = readers.read_argo_obs(spark, f"{tmp_path}/argo", where=profiles.near_surface_condition())
+    plan = profiles.near_surface_levels(read)._jdf.queryExecution().executedPlan().toString()
+    for bound in ("LessThanOrEqual(depth,5.0)", "LessThanOrEqual(salinity,42.0)", "GreaterThanOrEqual(salinity,20.0)", "GreaterThanOrEqual(original_datetime,946684800)", "LessThanOrEqual(original_datetime,1893456000)"):
+        assert bound in plan
+    assert read.count() == profiles.near_surface_levels(readers.read_argo_obs(spark, f"{tmp_path}/argo")).count() == 2
+
+
+def test_backfill_makes_good_an_early_end_and_records_empty_chunks(spark, tmp_path):
+    path = f"{tmp_path}/raw"
+    rows = spark.createDataFrame([(datetime(2021, 1, d), 1.0, d) for d in (2, 20)] + [(datetime(2021, 3, 3), 1.0, 1)], "TIME timestamp_ntz, PRES double, PLATFORM_NUMBER int")
+    for end in (date(2021, 1, 10), date(2021, 2, 28), date(2021, 3, 31)):
+        backfill.backfill(rows, path, date(2021, 1, 1), end, months=1)
+    assert spark.read.parquet(path).count() == 3
+    done = backfill.finished_chunks(spark, path, date(2021, 1, 1), date(2021, 3, 31), 1).collect()
+    assert sorted(r.chunk_start.month for r in done) == [1, 2, 3]
+    assert backfill.finished_chunks(spark, path, date(2021, 1, 1), date(2021, 4, 1), 1).count() == 3
+    with pytest.raises(ValueError):
+        backfill.backfill(rows, path, date(2021, 1, 1), date(2021, 4, 1), months=2)
+
+
 def test_month_chunks_match_their_rows(spark):
     start, end = date(2021, 1, 20), date(2021, 8, 10)
     chunks = [(r.chunk_start, r.chunk_end) for r in backfill.month_chunks(spark, start, end, 3).collect()]
