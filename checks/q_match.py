@@ -18,11 +18,11 @@ from brinelink.operators.split import owner_partition, split_by_date
 from brinelink.plans import index_match
 from brinelink.plans.coverage import coverage_scan
 from brinelink.plans.quality_report import quality_report
-from brinelink.sources.cycles import cycle_slot, list_cycles
+from brinelink.sources.cycles import list_cycles
 from checks import fixtures as fx
 from checks import sqlparts as sp
 from checks.registry import WINDOWS, check, describe_out, matchup_out, rnd, rounded, secs, text
-from checks.sqlparts import CYCLES, LEVELS, PROFILES, SATQ, cdate, chour, km, part, query, r
+from checks.sqlparts import CYCLES, LEVELS, PROFILES, cdate, chour, km, part, query, r
 
 
 def _matchups(spark, sf, sensor="smap", window=4) -> DataFrame:
@@ -419,6 +419,3 @@ def _(spark, sf):
 @check("W6_cycle_order", query(["sat"], [], "select cyc as slot, row_number() over (order by cyc) as cycle_idx from (select distinct cyc from sat) z"))
 def _(spark, sf):
     return list_cycles(fx.sat_all(spark, sf)).select("slot", "cycle_idx")
-
-
-del cycle_slot, SATQ

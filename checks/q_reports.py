@@ -576,7 +576,6 @@ def _(spark, sf):
     return out.select("lat", "lon", "sss", "region", "low", "high", "in_bounds")
 
 
-_SPIKE_KEY = ["sensor", "argo_lat", "argo_lon"]
 
 
 @check(
