@@ -132,6 +132,14 @@ def _one_pass(blocks, network: Network) -> tuple[np.ndarray, float, int, float,
     return total[:size], total[-4], int(total[-3]), total[-2], int(total[-1])
 
 
+def mean_gradient(rows: DataFrame, columns: Sequence[str], target: str, network: Network) -> DataFrame:
+    """Gradient of the mean squared error over ``rows`` at the given weights: i, value."""
+    blocks = _blocks(rows, columns, target, F.lit(False))
+    total, _, n, _, _ = _one_pass(blocks, network)
+    blocks.unpersist()
+    return rows.sparkSession.createDataFrame([(i, float(g / n)) for i, g in enumerate(total)], "i int, value double")
+
+
 def train_network(
     rows: DataFrame,
     columns: Sequence[str],

@@ -330,6 +330,64 @@ def _(spark, sf):
     return test.select("sat_lat", "sat_lon", "sat_sss", "argo_salinity", "pred_linreg")
 
 
+@check(
+    "M3_residuals_against_features",
+    query(["learn"], [_FEAT], " union all ".join(f"select '{n}' as feature, count(*) as n, 0e0 as dot, {r('avg(argo_salinity)')} as mean_pred from feat where part = 'train'" for n in [*_FEATURES, "intercept"])),
+)
+def _(spark, sf):
+    """What makes a fit the least-squares one: its residuals are at right angles to every input, and so to the constant."""
+    rows = split.split_by_date(fx.learnable(spark, sf)).where(F.col("partition") == "train")
+    fitted = compare.fit_corrections(split.split_by_date(fx.learnable(spark, sf)), with_network=False)
+    done = features.add_features(compare.apply_corrections(rows, fitted)).withColumn("intercept", F.lit(1.0))
+    left = F.col("pred_linreg") - F.col("argo_salinity")
+    names = [*features.FEATURE_COLUMNS, "intercept"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (left * F.col(c)).alias("dot")) for c in names])).alias("p")
+    sums = done.select(pairs, "pred_linreg").groupBy("p.feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p.dot").alias("dot"), F.avg("pred_linreg").alias("mean_pred")
+    )
+    return sums.select("feature", "n", F.when(F.abs("dot") > 1e-6, F.col("dot")).otherwise(0.0).alias("dot"), rnd("mean_pred").alias("mean_pred"))
+
+
+def _gradient_sql() -> list[tuple[str, str]]:
+    """Forward and backward pass of the untrained network over the train rows, written out."""
+    net = network.new_network(len(features.FEATURE_COLUMNS))
+    (w0, b0), (w1, b1), (w2, b2) = net.layers
+    x = list(features.FEATURE_COLUMNS)
+    num = lambda v: f"({float(v)!r}::double)"
+    dot = lambda names, w: " + ".join(f"{n}*{num(v)}" for n, v in zip(names, w))
+    h0, h1 = [f"h0_{j}" for j in range(w0.shape[1])], [f"h1_{k}" for k in range(w1.shape[1])]
+    e0, e1 = [f"e0_{j}" for j in range(w0.shape[1])], [f"e1_{k}" for k in range(w1.shape[1])]
+    parts = [
+        ("g0", "select y, " + ", ".join(x) + ", " + ", ".join(f"greatest(0e0, {dot(x, w0[:, j])} + {num(b0[j])}) as {n}" for j, n in enumerate(h0)) + " from grad_in"),
+        ("g1", "select *, " + ", ".join(f"greatest(0e0, {dot(h0, w1[:, k])} + {num(b1[k])}) as {n}" for k, n in enumerate(h1)) + " from g0"),
+        ("g2", f"select *, 2e0*({dot(h1, w2[:, 0])} + {num(b2[0])} - y) as e from g1"),
+        ("g3", "select *, " + ", ".join(f"case when {h} > 0 then e*{num(w2[k, 0])} else 0e0 end as {n}" for k, (h, n) in enumerate(zip(h1, e1))) + " from g2"),
+        ("g4", "select *, " + ", ".join(f"case when {h} > 0 then {dot(e1, w1[j])} else 0e0 end as {n}" for j, (h, n) in enumerate(zip(h0, e0))) + " from g3"),
+    ]
+    terms = [f"{a}*{b}" for a in x for b in e0] + e0 + [f"{a}*{b}" for a in h0 for b in e1] + e1 + [f"{a}*e" for a in h1] + ["e"]
+    parts.append(("g5", "select [" + ", ".join(f"avg({t})" for t in terms) + "] as g from g4"))
+    return parts
+
+
+@check(
+    "M4_start_gradient",
+    query(
+        ["learn"],
+        [_FEAT, _STATS, ("grad_in", "select argo_salinity - sat_sss as y, " + ", ".join(f"({n} - m_{n})/s_{n} as {n}" for n in _FEATURES if n != "sat_sss") + ", (sat_sss - m_sat_sss)/s_sat_sss as sat_sss_s from feat cross join st where part = 'train'"),
+         *[(n, t.replace("sat_sss", "sat_sss_s")) for n, t in _gradient_sql()]],
+        f"select cast(unnest(range(len(g))) as int) as i, {r('unnest(g)', 5)} as value from g5",
+    ),
+)
+def _(spark, sf):
+    """All 961 sums of the backward pass at the start weights."""
+    rows = features.add_residual(_feature_rows(spark, sf))
+    fitted = scaler.fit_scaler(rows.where(F.col("partition") == "train"), features.FEATURE_COLUMNS)
+    train = fitted.transform(rows.where(F.col("partition") == "train"), "_s")
+    names = [f"{c}_s" for c in features.FEATURE_COLUMNS]
+    found = network.mean_gradient(train, names, "residual", network.new_network(len(names)))
+    return found.select("i", rnd("value", 5).alias("value"))
+
+
 @check("M4_network_predictions")
 def _(spark, sf):
     _, predictions = train_and_compare.fit_and_predict(fx.learnable(spark, sf))
