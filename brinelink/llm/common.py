@@ -29,7 +29,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     if not _written:
         atexit.register(_clear)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[:] = [x for x in _written if x[1] != df.stored_at]
 
 
 def _clear() -> None:
@@ -79,7 +89,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = stored(stars(edges), "edges")
+        last, edges = edges, stored(stars(edges), "edges")
+        dropped(last)
         now = mark(edges)
         if now == seen:
             break

@@ -20,9 +20,10 @@ def docs_of(spark):
         rows = [tuple(r) + (None,) * (4 - len(r)) for r in rows]
         schema = (
             "doc_id long, text string, source string, lang string, n_chars long, fp long, queue string, "
-            "n string, a string, b string, key string, component string, uid string, k string, pid string, at string"
+            "n string, a string, b string, key string, component string, uid string, k string, pid string, at string, "
+            "rk string, lo string, hi string, id string, other string, prk string, part string, hash string, h string"
         )
-        full = [(r[0], r[1], r[2], r[3], 1, None) + ("x",) * 10 for r in rows]
+        full = [(r[0], r[1], r[2], r[3], 1, None) + ("x",) * 19 for r in rows]
         return spark.createDataFrame(full, schema).repartition(parts)
 
     return make
