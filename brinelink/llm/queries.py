@@ -41,7 +41,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op5_passages")

@@ -86,11 +86,12 @@ def links(prints: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) ->
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, group, content.
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing
     bits, the document's own included; null ids are passed over, and it is null where none
-    is known. Null and empty texts have fingerprint zero and are linked like any other.
+    is known. ``group`` numbers the components and ``content`` is a key of id and text.
+    Null and empty texts have fingerprint zero and are linked like any other.
     Repeated rows give a row each; other columns are not read; no rows give none.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -98,14 +99,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [_signed(fingerprint(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("content"), pa.array(fps, pa.int64())], ["doc_id", "content", "fp"]
+            )
 
-    rows = docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {id_type}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("content"))
+    rows = rows.mapInArrow(prints, f"doc_id {id_type}, content long, fp long")
     rows = stored(rows, "fingerprints")
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comp = components(links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     known = firsts.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
     # a fingerprint of very many documents is one small row here, and the join on it may be split
-    ids = known.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = known.select("fp", "component").join(smallest, "component").select("fp", "component_id", F.col("component").alias("group"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return rows.join(ids, "fp").select("doc_id", digits, "component_id", "group", "content")
