@@ -180,8 +180,9 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
         F.array(F.when(F.col("turn") == 1, name_of(1)).otherwise(name_of(2))).alias("after"),
     )
     results = turns.where("role = 'assistant'").select(name_of(1).alias("call_id"), F.col("text").alias("content"))
-    schemas = conversations.sparkSession.createDataFrame(TOOLS, "name string, field string, kind string, required boolean")
-    return calls, results, schemas
+    names = ("name", "field", "kind", "required")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, tool)]) for tool in TOOLS])
+    return calls, results, conversations.sparkSession.range(1).select(F.inline(rows))
 
 
 SQL = """
