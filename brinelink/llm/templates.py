@@ -2,9 +2,9 @@
 
 A text becomes canonical tokens: numbers, quantities, units and names are replaced by typed
 placeholders and their values kept as slots. Windows of ``WINDOW`` tokens are hashed. A
-document meets an item over equal windows at one alignment; the windows count only if the
-slots agree, that is if each value of the item always stands for the same value in the
-document. So a question asked again with other numbers or names is found, and a text that
+document meets an item over equal windows at one alignment; a window counts only if its
+slots agree, that is if each of its item values stands for the value in the document that most tokens
+of this item value stand for. So a question asked again with other numbers or names is found, and a text that
 merely has the same shape is not.
 """
 
@@ -142,8 +142,8 @@ def template_windows(data: np.ndarray, at: np.ndarray, size: int = WINDOW):
 
 
 def _windows(texts: DataFrame, key: str, wanted=None) -> DataFrame:
-    """Windows of texts, or those among the broadcast sorted hashes: key, hash, place, windows, slots."""
-    names = [key, "hash", "place", "windows", "slots"]
+    """Windows of texts, or those among the broadcast sorted hashes: key, hash, place, windows, slots, and the slots' tokens."""
+    names = [key, "hash", "place", "windows", "slots", "spots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +152,10 @@ def _windows(texts: DataFrame, key: str, wanted=None) -> DataFrame:
                 hashed, templated, first, index, width, (kind, starts, ends) = template_windows(data, at)
                 sel = np.arange(len(hashed)) if wanted is None else np.flatnonzero(_among(hashed, wanted.value))
                 doc = np.searchsorted(first, sel, "right") - 1
-                slots = []
-                for w, full in zip(sel, templated[sel]):
+                slots, spots = [], []
+                for w, d, full in zip(sel, doc, templated[sel]):
                     tokens = range(index[w], index[w] + width[w]) if full else ()
+                    spots.append([i - index[first[d]] for i in tokens if kind[i]])
                     slots.append([f"{kind[i]}{data[starts[i]:ends[i]].tobytes().decode('utf-8', 'replace')}" for i in tokens if kind[i]])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -163,12 +164,13 @@ def _windows(texts: DataFrame, key: str, wanted=None) -> DataFrame:
                         pa.array(sel - first[doc]),
                         pa.array(np.diff(first)[doc]),
                         pa.array(slots, pa.list_(pa.string())),
+                        pa.array(spots, pa.list_(pa.int64())),
                     ],
                     names,
                 )
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, hash long, place long, windows long, slots array<string>")
+    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, hash long, place long, windows long, slots array<string>, spots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, per_pass: int = HASHES_PER_PASS) -> DataFrame:
@@ -203,10 +205,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COV
     pairs = hits.join(candidates, "rk").join(bench.drop("rare"), ["hash", "ik"])
     pairs = pairs.withColumn("shift", F.col("place") - F.col("item_place"))
     lined = ["rk", "ik", "shift"]
-    slots = pairs.select(*lined, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    # one value of the item, one value here
-    clash = slots.groupBy(*lined, "s.item_slots").agg(F.count_distinct("s.slots").alias("n")).where("n > 1")
-    agreed = pairs.join(clash.select(*lined).distinct(), lined, "left_anti")
+    slots = pairs.select(*lined, "item_place", F.explode(F.arrays_zip("spots", "item_slots", "slots")).alias("s")).select(*lined, "item_place", "s.*")
+    # one value of the item, one value here: that of most of its tokens. Windows with another do not count, nor any without a majority
+    valued = [*lined, "item_slots"]
+    read = slots.groupBy(*valued, "slots").agg(F.count_distinct("spots").alias("n"))
+    read = read.withColumn("all", F.sum("n").over(Window.partitionBy(*valued)))
+    clash = slots.join(read.where("2 * n <= all"), [*valued, "slots"]).select(*lined, "item_place").distinct()
+    agreed = pairs.join(clash, [*lined, "item_place"], "left_anti")
     agreed = agreed.groupBy(*lined).agg(F.count_distinct("item_place").alias("covered"), F.first("windows").alias("windows"))
     best = agreed.where(F.col("covered") >= F.ceil(F.col("windows") * coverage))
     best = best.groupBy("rk", "ik").agg(F.max("covered").alias("covered"), F.first("windows").alias("windows"))

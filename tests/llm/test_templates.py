@@ -50,6 +50,19 @@ def test_reparameterised_questions(spark, docs_of):
     assert contaminated(docs_of(rows), bench(spark, items).where("false")).count() == 0
 
 
+def test_one_clashing_value_in_a_long_copy(spark, docs_of):
+    """Only windows that hold the odd reading are lost; without a majority, all that hold the value."""
+    words = [f"word{i}" for i in range(120)]
+    for i in (10, 40, 70):
+        words[i] = "12"
+    typo, even = list(words), list(words)
+    typo[40] = "12.0"
+    even[40], even[70] = "12.0", "13"
+    rows = [(1, " ".join(words)), (2, " ".join(typo)), (3, "before " * 30 + " ".join(even))]
+    got = {r.doc_id: (r.covered, r.windows) for r in contaminated(docs_of(rows), bench(spark, [(1, " ".join(words))])).collect()}
+    assert got == {1: (116, 116), 2: (111, 116), 3: (101, 116)}
+
+
 def test_whole_table(spark, sf):
     """All that hold an item word for word, and nothing that does not hold half of its windows."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
