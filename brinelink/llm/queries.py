@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelink.llm import langid, packing, passages, quality, simhash, subspace, suffixes, templates, token_counts, toolcalls
+from brinelink.llm import (
+    langid,
+    packing,
+    passages,
+    quality,
+    simhash,
+    subspace,
+    suffixes,
+    templates,
+    token_counts,
+    toolcalls,
+    variants,
+)
 from brinelink.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +102,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_tool_calls", toolcalls.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_variants", variants.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
