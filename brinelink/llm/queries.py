@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brinelink.llm import (
     langid,
+    licenses,
     packing,
     passages,
     quality,
@@ -107,3 +108,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_variants", variants.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_licenses", licenses.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
