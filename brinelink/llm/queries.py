@@ -20,6 +20,7 @@ from brinelink.llm import (
     templates,
     token_counts,
     toolcalls,
+    trie,
     variants,
 )
 from brinelink.llm.common import held_out, table
@@ -113,3 +114,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_licenses", licenses.sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_trie", trie.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
