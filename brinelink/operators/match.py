@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brinelink.functions import geo
 from brinelink.functions import quality as q
 from brinelink.functions.scalars import micros
-from brinelink.operators.nearest import HOT_CELL, nearest, within
+from brinelink.operators.nearest import HOT_CELL, nearest
+from brinelink.operators.nearest_valid import nearest_valid
 from brinelink.operators.profiles import argo_profiles, usable_condition, usable_sat
 from brinelink.session import cut_lineage
 from brinelink.sources.cycles import list_cycles, with_cycle_idx
@@ -145,7 +146,7 @@ def match_windowed(
     rows = cut_lineage(_profile_rows(with_cycle_idx(profiles, cycles)))
     points = _sat_points(with_cycle_idx(sat, cycles))
     if mode == "best_valid":
-        best = _best_valid(rows, points, max_dist_km, max_gap_s, max_abs_diff, window)
+        best = _best_valid(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
         return _matchup_columns(_named_cycle(best, cycles))
     hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
     best = (
@@ -159,24 +160,35 @@ def match_windowed(
 
 
 def _best_valid(
-    rows: DataFrame, points: DataFrame, max_dist_km: float, max_gap_s: float, max_abs_diff: float, window: int
+    rows: DataFrame,
+    points: DataFrame,
+    max_dist_km: float,
+    max_gap_s: float,
+    max_abs_diff: float,
+    window: int,
+    hot_cell: int,
 ) -> DataFrame:
     """Nearest of the observations that pass all limits, for every profile row.
 
     Both sides meet in time slices as long as the gap allowed and in grid cells, a profile in
-    three slices. Limits that depend on the pair leave no bound to prune crowded cells with,
-    so such a cell is joined pair by pair within its slice.
+    three slices. Crowded cells are searched by bounds on place, time, value and cycle.
     """
     gap = max(1, int(max_gap_s * 1e6))
-    numbered = rows.withColumn("qid", F.monotonically_increasing_id()).withColumn("radius_km", F.lit(float(max_dist_km)))
+    numbered = cut_lineage(rows).withColumn("qid", F.monotonically_increasing_id())
     here = F.floor(F.col("t") / gap)
-    asked = numbered.select("qid", "lat", "lon", "radius_km", F.explode(F.sequence(here - 1, here + 1)).alias("part"))
-    placed = points.withColumnRenamed("part", "sat_cycle").withColumn("part", F.floor(F.col("sat_t") / gap))
-    near = within(asked, placed, ["sat_cycle", "sat_t", "sss", "sat_basin"])
-    valid = near.join(numbered.select("qid", "t", "salinity", "cycle_idx"), "qid").where(
-        _within_limits(max_gap_s, max_abs_diff) & (F.abs(F.col("cycle_idx") - F.col("hit.sat_cycle")) <= window)
+    asked = numbered.select(
+        "qid",
+        "lat",
+        "lon",
+        F.lit(float(max_dist_km)).alias("radius_km"),
+        F.explode(F.sequence(here - 1, here + 1)).alias("part"),
+        F.col("t").alias("mid_sat_t"),
+        F.col("salinity").alias("mid_sss"),
+        F.col("cycle_idx").alias("mid_sat_cycle"),
     )
-    best = valid.groupBy("qid").agg(F.min("hit").alias("hit"))
+    placed = points.withColumnRenamed("part", "sat_cycle").withColumn("part", F.floor(F.col("sat_t") / gap))
+    allowed = {"sat_t": int(max_gap_s * 1e6), "sss": max_abs_diff, "sat_cycle": window}
+    best = nearest_valid(asked, placed, ["sat_cycle", "sat_t", "sss", "sat_basin"], allowed, hot_cell=hot_cell)
     return numbered.join(best, "qid")
 
 

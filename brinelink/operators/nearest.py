@@ -69,17 +69,6 @@ def nearest(
     return numbered.join(best, "qid").drop("qid")
 
 
-def within(
-    queries: DataFrame, points: DataFrame, payload: Sequence[str], cell_deg: float = 1.0
-) -> DataFrame:
-    """All points within the radius of every query: ``qid`` and ``hit`` as in ``nearest``.
-
-    ``queries`` has ``qid`` besides; a query may come with several parts.
-    """
-    h = F.lit(float(cell_deg))
-    return _measure(_cells_of_queries(queries, h), _locate_points(points, h, payload))
-
-
 def _join_key(cell: Column) -> Column:
     """Declare a cell number never null, so a join adds no null test that would be
     pushed down and evaluate the whole expression a second time at the scan."""

@@ -52,6 +52,12 @@ def _(spark, sf):
     return matchup_out(match.match_windowed(*_inputs(spark, sf, "smap"), max_abs_diff=3.0, mode="best_valid"))
 
 
+@check("J1_windowed_nearest_best_valid_crowded", query(["sat", "argo"], sp.best_valid_parts("smap"), sp.matchup_select("best")))
+def _(spark, sf):
+    """The same with every cell of two observations or more searched by bounds on place, time, value and cycle."""
+    return matchup_out(match.match_windowed(*_inputs(spark, sf, "smap"), max_abs_diff=3.0, mode="best_valid", hot_cell=1))
+
+
 @check("J1_windowed_nearest_crowded_cells", query(["sat", "argo"], sp.matched_parts("smap"), sp.matchup_select("best")))
 def _(spark, sf):
     """The same with cells that count as crowded from two observations on, so that most queries walk down the grid."""
