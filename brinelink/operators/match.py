@@ -10,7 +10,7 @@ from brinelink.functions import quality as q
 from brinelink.functions.scalars import micros
 from brinelink.operators.nearest import HOT_CELL, nearest
 from brinelink.operators.nearest_valid import nearest_valid
-from brinelink.operators.profiles import argo_profiles, usable_condition, usable_sat
+from brinelink.operators.profiles import argo_profiles, usable_sat
 from brinelink.session import cut_lineage
 from brinelink.sources.cycles import list_cycles, with_cycle_idx
 
@@ -35,14 +35,17 @@ def _cycle_spans(points: DataFrame) -> DataFrame:
     return points.groupBy("part").agg(F.min("sat_t").alias("first_t"), F.max("sat_t").alias("last_t"))
 
 
-def _cycles_and_spans(argo: DataFrame, sat: DataFrame, usable: Column) -> tuple[DataFrame, DataFrame]:
-    """Cycles of both tables, and of each the first and last usable satellite time, in one pass over ``sat``."""
-    t = F.when(usable, micros(F.col("datetime")))
-    seen = sat.groupBy("cycle_date", "cycle_hour").agg(F.min(t).alias("first_t"), F.max(t).alias("last_t"))
-    seen = cut_lineage(seen)  # four rows a day
-    cycles = cut_lineage(list_cycles(argo, seen))
-    spans = with_cycle_idx(seen, cycles).select(F.col("cycle_idx").alias("part"), "first_t", "last_t")
-    return cycles, spans.where("first_t is not null")
+def _of_near_cycles(sat: DataFrame, rows: DataFrame, cycles: DataFrame, window: int) -> DataFrame:
+    """Satellite rows of the cycles within ``window`` of some profile's.
+
+    The join is on the columns the archive is partitioned by and its other side is a filtered list of
+    cycles (four rows a day), so a scan of the archive opens the files of those cycles only.
+    """
+    around = rows.groupBy("cycle_idx").agg(F.count(F.lit(1)).alias("n"))
+    around = around.select(F.explode(F.sequence(F.col("cycle_idx") - window, F.col("cycle_idx") + window)).alias("cycle_idx"), "n")
+    asked = cycles.join(around, "cycle_idx").groupBy("cycle_date", "cycle_hour").agg(F.sum("n").alias("n"))
+    asked = cut_lineage(asked).where("n > 0")
+    return sat.join(F.broadcast(asked), ["cycle_date", "cycle_hour"], "left_semi")
 
 
 def _reachable(wanted: DataFrame, spans: DataFrame, max_gap_s: float) -> DataFrame:
@@ -103,7 +106,6 @@ def _valid_hits(
     max_abs_diff: float,
     window: int,
     hot_cell: int,
-    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Valid nearest observation per (profile, searched cycle).
 
@@ -113,7 +115,7 @@ def _valid_hits(
     """
     copies = profiles.withColumn("part", F.explode(F.sequence(F.col("cycle_idx") - window, F.col("cycle_idx") + window)))
     wanted = (
-        _reachable(copies, _cycle_spans(points) if spans is None else spans, max_gap_s)
+        _reachable(copies, _cycle_spans(points), max_gap_s)
         .groupBy(*_VARIANT, "part")
         .agg(F.min("cycle_idx").alias("first_cycle"))
         .withColumn("radius_km", F.lit(float(max_dist_km)))
@@ -144,7 +146,7 @@ def match_windowed(
         raise ValueError(f"unknown mode {mode}")
     # kept, so that the means are the same numbers wherever the rows are used
     rows = cut_lineage(_profile_rows(with_cycle_idx(profiles, cycles)))
-    points = _sat_points(with_cycle_idx(sat, cycles))
+    points = _sat_points(with_cycle_idx(_of_near_cycles(sat, rows, cycles, window), cycles))
     if mode == "best_valid":
         best = _best_valid(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
         return _matchup_columns(_named_cycle(best, cycles))
@@ -174,7 +176,7 @@ def _best_valid(
     three slices. Crowded cells are searched by bounds on place, time, value and cycle.
     """
     gap = max(1, int(max_gap_s * 1e6))
-    numbered = cut_lineage(rows).withColumn("qid", F.monotonically_increasing_id())
+    numbered = cut_lineage(rows.withColumn("qid", F.monotonically_increasing_id()))
     here = F.floor(F.col("t") / gap)
     asked = numbered.select(
         "qid",
@@ -212,15 +214,17 @@ def build_matchups(
     building the copies in between: of the cycles a profile is filed under, only the
     earliest one with a match survives, so one minimum per profile settles cycle,
     distance and tie.
+
+    ``cycles`` lists the cycles that exist (``sources.cycles``); without it both tables are asked. Satellite
+    files of cycles that no profile is near to are not opened if the table is partitioned by cycle.
     """
-    spans = None
     if cycles is None:
-        cycles, spans = _cycles_and_spans(argo, sat, usable_condition(sensor, min_salinity, max_salinity))
+        cycles = cut_lineage(list_cycles(argo, sat))
     profiles = argo_profiles(argo, max_depth=max_depth, min_salinity=min_salinity, max_salinity=max_salinity)
-    usable = usable_sat(sat, sensor, min_salinity, max_salinity)
-    rows = _profile_rows(with_cycle_idx(profiles, cycles))
+    rows = cut_lineage(_profile_rows(with_cycle_idx(profiles, cycles)))
+    usable = usable_sat(_of_near_cycles(sat, rows, cycles, window), sensor, min_salinity, max_salinity)
     points = _sat_points(with_cycle_idx(usable, cycles))
-    hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell, spans)
+    hits = _valid_hits(rows, points, max_dist_km, max_gap_s, max_abs_diff, window, hot_cell)
     order = F.struct("first_cycle", "oceanBasin", "hit.mm", "part", "salinity", "depth", "hit")
     kept = (
         hits.groupBy("lat", "lon", "t")
@@ -252,8 +256,9 @@ def same_cycle_nearest(
     hot_cell: int = HOT_CELL,
 ) -> DataFrame:
     """Space-time candidates of each (profile, cycle) row in its own cycle, before the gross check."""
-    rows = _profile_rows(with_cycle_idx(profiles, cycles)).withColumnRenamed("cycle_idx", "part")
-    points = _sat_points(with_cycle_idx(sat, cycles))
+    rows = cut_lineage(_profile_rows(with_cycle_idx(profiles, cycles)))
+    points = _sat_points(with_cycle_idx(_of_near_cycles(sat, rows, cycles, 0), cycles))
+    rows = rows.withColumnRenamed("cycle_idx", "part")
     wanted = _reachable(rows, _cycle_spans(points), max_gap_s).withColumn("radius_km", F.lit(float(max_dist_km)))
     hits = nearest(wanted, points, ["sat_t", "sss", "sat_basin"], hot_cell=hot_cell)
     near = hits.where(_within_limits(max_gap_s, None)).withColumnRenamed("part", "cycle_idx")

@@ -50,7 +50,7 @@ def nearest(
     row order.
     """
     h = F.lit(float(cell_deg)) if isinstance(cell_deg, (int, float)) else cell_deg
-    numbered = cut_lineage(queries).withColumn("qid", F.monotonically_increasing_id())
+    numbered = cut_lineage(queries.withColumn("qid", F.monotonically_increasing_id()))
     located = _locate_points(points, h, payload)
     asked = _cells_of_queries(numbered, h)
 

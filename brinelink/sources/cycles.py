@@ -53,6 +53,16 @@ def cycles_from_folder(spark: SparkSession, root: str, start: date | None = None
     return cycles_from_paths(files, start=start, end=end)
 
 
+def cycles_from_partitions(spark: SparkSession, *roots: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Cycle list of tables partitioned by ``cycle_date`` and ``cycle_hour``, by their file names only: no file is opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    path = F.col("path")
+    day = F.try_to_date(F.regexp_extract(path, r"/cycle_date=(\d{4}-\d{2}-\d{2})/", 1))
+    hour = F.regexp_extract(path, r"/cycle_hour=(\d{2})/", 1)
+    found = reader.load(list(roots)).select(day.alias("cycle_date"), hour.alias("cycle_hour"))
+    return list_cycles(found.dropna(), start=start, end=end)
+
+
 def with_cycle_idx(df: DataFrame, cycles: DataFrame) -> DataFrame:
     """Attach ``cycle_idx``; the cycle list is small by construction and is broadcast."""
     numbers = cycles.select("slot", "cycle_idx")
