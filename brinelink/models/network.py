@@ -1,19 +1,24 @@
 """A small feed-forward network trained by full-batch gradients summed over Spark tasks.
 
-The training rows stay with the executors as numpy blocks.  Each epoch is one job: every
-task adds up the gradient of its blocks, Spark adds the tasks up, and the driver, which
-holds nothing but the weights, takes the optimiser step.
+The training rows stay with the executors as numpy blocks.  Many epochs are one barrier stage: each
+task reads its blocks once, adds up their gradient, exchanges the sums with the others and takes
+the same optimiser step as they do.  After ``ROUND`` epochs the stage ends and the driver keeps the weights and the
+optimiser's moments, so a lost executor costs the epochs since then.  Where a barrier stage cannot
+be scheduled (executors that come and go) each epoch is a job and the driver takes the step.
 """
 
 from __future__ import annotations
 
+import base64
+import logging
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,10 @@ PATIENCE = 20
 MIN_IMPROVEMENT = 1e-6
 SEED = 0
 
+#: Epochs in one barrier stage.
+ROUND = 50
+
+_log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -85,8 +94,8 @@ def new_network(n_inputs: int, hidden: Sequence[int] = HIDDEN, seed: int = SEED)
     return Network(layers)
 
 
-def _blocks(rows: DataFrame, columns: Sequence[str], target: str, is_val: Column):
-    """Persisted RDD of (is_val, inputs, targets) blocks, one per Arrow batch and side."""
+def _blocks(rows: DataFrame, columns: Sequence[str], target: str, is_val: Column, tasks: int = 0):
+    """Persisted RDD of (is_val, inputs, targets) blocks, one per Arrow batch and side, dealt to ``tasks`` partitions (0: as they come)."""
     width = len(columns)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,40 +113,106 @@ def _blocks(rows: DataFrame, columns: Sequence[str], target: str, is_val: Column
 
     narrow = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(target).cast("double").alias("_y"), is_val.alias("_v"))
     packed = narrow.mapInArrow(pack, "val boolean, x binary, y binary")
+    if tasks:
+        packed = packed.repartition(tasks)
     return packed.rdd.map(
         lambda r: (r.val, np.frombuffer(bytes(r.x)).reshape(-1, width), np.frombuffer(bytes(r.y)))
     ).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _one_pass(blocks, network: Network) -> tuple[np.ndarray, float, int, float, int]:
-    """(gradient sum, train loss sum, train rows, validation loss sum, validation rows)."""
+def _sums(part: Iterator, network: Network) -> np.ndarray:
+    """Gradient sum, train loss sum, train rows, validation loss sum and validation rows of some blocks."""
     size = network.flat().size
+    total = np.zeros(size + 4)
+    for val, x, y in part:
+        if val:
+            error = network.forward(x) - y
+            total[-2] += error @ error
+            total[-1] += len(y)
+        else:
+            loss, gradient = network.loss_gradient(x, y)
+            total[:size] += gradient
+            total[-4] += loss
+            total[-3] += len(y)
+    return total
+
+
+def _one_pass(blocks, network: Network) -> np.ndarray:
+    return blocks.mapPartitions(lambda part: [_sums(part, network)]).treeReduce(np.add, depth=3)
 
-    def add_up(part: Iterator) -> Iterator[np.ndarray]:
-        total = np.zeros(size + 4)
-        for val, x, y in part:
-            if val:
-                error = network.forward(x) - y
-                total[-2] += error @ error
-                total[-1] += len(y)
+
+@dataclass
+class Descent:
+    """Adam on the train loss with an early stop on the validation loss. ``take`` is one pass's sums further."""
+
+    weights: np.ndarray
+    learning_rate: float
+    max_epochs: int
+    patience: int
+    step: int = 0
+    first: np.ndarray | float = 0.0
+    second: np.ndarray | float = 0.0
+    loss: float = 0.0
+    best: np.ndarray | None = None
+    best_loss: float = float("inf")
+    waited: int = 0
+    done: bool = False
+    history: list[tuple[float, float]] = field(default_factory=list)
+
+    def take(self, total: np.ndarray) -> None:
+        """Judge the last step by the sums at the weights it led to, then take the next one."""
+        gradient, (loss, n_train, val_sum, n_val) = total[:-4], total[-4:]
+        if self.step:
+            val_loss = float(val_sum / n_val)
+            self.history.append((self.loss, val_loss))
+            if val_loss < self.best_loss - MIN_IMPROVEMENT:
+                self.best, self.best_loss, self.waited = self.weights, val_loss, 0
             else:
-                loss, gradient = network.loss_gradient(x, y)
-                total[:size] += gradient
-                total[-4] += loss
-                total[-3] += len(y)
-        yield total
+                self.waited += 1
+            if self.waited >= self.patience or self.step >= self.max_epochs:
+                self.done = True
+                return
+        self.loss = float(loss / n_train)
+        self.step += 1
+        g = gradient / n_train
+        self.first = 0.9 * self.first + 0.1 * g
+        self.second = 0.999 * self.second + 0.001 * g * g
+        rate = self.learning_rate / (1 - 0.9**self.step)
+        self.weights = self.weights - rate * self.first / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _round(blocks, network: Network, descent: Descent, passes: int) -> Descent:
+    """Up to ``passes`` passes in one barrier stage. All tasks add the same sums in the same order, so all hold the same weights."""
+
+    def run(part: Iterator) -> Iterator[Descent]:
+        context = BarrierTaskContext.get()
+        held = list(part)
+        for _ in range(passes):
+            own = _sums(held, network.with_flat(descent.weights))
+            every = context.allGather(base64.b64encode(own.tobytes()).decode())
+            descent.take(np.sum([np.frombuffer(base64.b64decode(x)) for x in every], axis=0))
+            if descent.done:
+                break
+        if context.partitionId() == 0:
+            yield descent
+
+    return blocks.barrier().mapPartitions(run).collect()[0]
 
-    sums = blocks.mapPartitions(add_up)
-    total = sums.treeReduce(np.add, depth=3)
-    return total[:size], total[-4], int(total[-3]), total[-2], int(total[-1])
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run at once, 0 if that may change: a barrier stage needs all of its tasks at once."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return int(context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
 
 
 def mean_gradient(rows: DataFrame, columns: Sequence[str], target: str, network: Network) -> DataFrame:
     """Gradient of the mean squared error over ``rows`` at the given weights: i, value."""
     blocks = _blocks(rows, columns, target, F.lit(False))
-    total, _, n, _, _ = _one_pass(blocks, network)
+    total = _one_pass(blocks, network)
     blocks.unpersist()
-    return rows.sparkSession.createDataFrame([(i, float(g / n)) for i, g in enumerate(total)], "i int, value double")
+    return rows.sparkSession.createDataFrame([(i, float(g / total[-3])) for i, g in enumerate(total[:-4])], "i int, value double")
 
 
 def train_network(
@@ -150,43 +225,35 @@ def train_network(
     max_epochs: int = MAX_EPOCHS,
     patience: int = PATIENCE,
     seed: int = SEED,
+    tasks: int | None = None,
 ) -> Network:
     """Fit on the 'train' rows, stop early on the 'val' rows, return the best weights met.
 
     Each pass gives both the gradient at the current weights and the validation loss of
-    the step that led to them.
+    the step that led to them. ``tasks`` is the size of the barrier stage, by default what the cluster runs
+    at once; 0 makes every epoch a job of its own. The history does not depend on it but for rounding.
     """
     chosen = rows.where(F.col(partition_col).isin("train", "val"))
-    blocks = _blocks(chosen, columns, target, F.col(partition_col) == "val")
+    tasks = _slots(rows.sparkSession) if tasks is None else tasks
+    blocks = _blocks(chosen, columns, target, F.col(partition_col) == "val", tasks)
     network = new_network(len(columns), hidden, seed)
-    weights = network.flat()
-    best, best_loss, waited = weights, float("inf"), 0
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    history: list[tuple[float, float]] = []
+    descent = Descent(network.flat(), learning_rate, max_epochs, patience)
+    began = time.time()
     try:
-        gradient, loss, n_train, _, n_val = _one_pass(blocks, network)
-        if n_train == 0 or n_val == 0:
+        total = _one_pass(blocks, network)
+        if total[-3] == 0 or total[-1] == 0:
             raise ValueError("training needs rows in both 'train' and 'val'")
-        for step in range(1, max_epochs + 1):
-            g = gradient / n_train
-            first = 0.9 * first + 0.1 * g
-            second = 0.999 * second + 0.001 * g * g
-            rate = learning_rate / (1 - 0.9**step)
-            weights = weights - rate * first / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            train_loss = loss / n_train
-            gradient, loss, _, val_sum, _ = _one_pass(blocks, network.with_flat(weights))
-            val_loss = val_sum / n_val
-            history.append((train_loss, val_loss))
-            if val_loss < best_loss - MIN_IMPROVEMENT:
-                best, best_loss, waited = weights, val_loss, 0
+        descent.take(total)
+        while not descent.done:
+            if tasks:
+                descent = _round(blocks, network, descent, ROUND)
             else:
-                waited += 1
-            if waited >= patience:
-                break
+                descent.take(_one_pass(blocks, network.with_flat(descent.weights)))
     finally:
         blocks.unpersist()
-    fitted = network.with_flat(best)
-    fitted.history = history
+    _log.info("%d epochs in %.1f s, %s", len(descent.history), time.time() - began, f"barrier of {tasks}" if tasks else "a job each")
+    fitted = network.with_flat(descent.weights if descent.best is None else descent.best)
+    fitted.history = descent.history
     return fitted
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from brinelink.functions import geo
 from brinelink.functions.scalars import time_gap_s
-from brinelink.operators.nearest import nearest
+from brinelink.operators.nearest import KeptPoints, keep_points, nearest, nearest_kept
+from brinelink.session import cut_lineage
 
 PROFILE_ID = ["argo_lat", "argo_lon", "argo_datetime"]
 
@@ -18,6 +19,8 @@ MAX_INDEX_DIST_KM = 1.0
 MAX_INDEX_GAP_S = 600
 
 HOT_INDEX_CELL = 64
+#: Cells of the kept index; its first ring is half of it, about 14 km.
+KEPT_CELL_DEG = 0.25
 _CELL_SIZES = (1 / 64, 1 / 8, 1.0, 8.0, 45.0)
 
 
@@ -72,9 +75,36 @@ def nearest_position(asked: DataFrame, positions: DataFrame, hot_cell: int = HOT
     return found.select("lat", "lon", F.col("hit.lat").alias("near_lat"), F.col("hit.lon").alias("near_lon"))
 
 
+def keep_index(index: DataFrame, hot_cell: int = HOT_INDEX_CELL, buckets: int | None = None) -> KeptPoints:
+    """The index as a kept table: of several entries at one position the earliest stands for it."""
+    entry = F.struct("date", "wmo", "cyc", "file", "dac")
+    placed = index.dropna(subset=["latitude", "longitude"])
+    by_position = placed.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(F.min(entry).alias("entry"))
+    return keep_points(by_position, ["entry"], KEPT_CELL_DEG, hot_cell, buckets)
+
+
+def _nearest_kept_entry(asked: DataFrame, kept: KeptPoints, hot_cell: int) -> DataFrame:
+    """Nearest entry of every position: argo_lat, argo_lon, near_lat, near_lon, entry.
+
+    The first ring, half a cell wide, is searched in the kept table. Positions that it holds nothing for, few where the
+    index covers the profiles, are searched at any distance.
+    """
+    out = [F.col("lat").alias("argo_lat"), F.col("lon").alias("argo_lon"), "near_lat", "near_lon", "entry"]
+    ring = asked.withColumn("radius_km", F.lit(kept.cell_deg / 2 * geo.KM_PER_DEGREE))
+    found = nearest_kept(ring, kept, hot_cell)
+    found = cut_lineage(found.select("lat", "lon", F.col("hit.lat").alias("near_lat"), F.col("hit.lon").alias("near_lon"), "hit.entry"))
+    rest = cut_lineage(asked.join(found, ["lat", "lon"], "left_anti"))
+    if rest.isEmpty():
+        return found.select(*out)
+    entries = kept.table.select(F.col("point.lat").alias("near_lat"), F.col("point.lon").alias("near_lon"), "point.entry")
+    far = nearest_position(rest, entries.select(F.col("near_lat").alias("lat"), F.col("near_lon").alias("lon")), hot_cell)
+    far = far.join(entries, ["near_lat", "near_lon"])
+    return found.unionByName(far.select(*found.columns)).select(*out)
+
+
 def match_to_index(
     profiles: DataFrame,
-    index: DataFrame,
+    index: DataFrame | KeptPoints,
     max_dist_km: float = MAX_INDEX_DIST_KM,
     max_gap_s: float = MAX_INDEX_GAP_S,
     hot_cell: int = HOT_INDEX_CELL,
@@ -82,19 +112,12 @@ def match_to_index(
     """Nearest index entry of every profile, flagged ``matched`` when close enough.
 
     Space alone picks the entry, at any distance; distance and time only set the flag.
-    Of several entries at one position the earliest stands for it.
+    Of several entries at one position the earliest stands for it. ``index`` is the table or, to
+    search it again and again, what ``keep_index`` made of it.
     """
-    entry = F.struct("date", "wmo", "cyc", "file", "dac")
-    by_position = index.groupBy(F.col("latitude").alias("near_lat"), F.col("longitude").alias("near_lon")).agg(
-        F.min(entry).alias("entry")
-    )
-    positions = by_position.select(F.col("near_lat").alias("lat"), F.col("near_lon").alias("lon"))
+    kept = index if isinstance(index, KeptPoints) else keep_index(index, hot_cell)
     asked = profiles.select(F.col("argo_lat").alias("lat"), F.col("argo_lon").alias("lon")).dropna().distinct()
-    near = (
-        nearest_position(asked, positions, hot_cell)
-        .join(by_position, ["near_lat", "near_lon"])
-        .withColumnsRenamed({"lat": "argo_lat", "lon": "argo_lon"})
-    )
+    near = _nearest_kept_entry(asked, kept, hot_cell)
     joined = profiles.join(near, ["argo_lat", "argo_lon"], "left").select(
         *profiles.columns,
         "entry.wmo",

@@ -17,13 +17,15 @@ in the shared folder: the points are read once, whatever their number and spread
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinelink.functions import geo
-from brinelink.session import cut_lineage
+from brinelink.session import cut_lineage, shared_folder
 
 HOT_CELL = 256
 MAX_LEVEL = 6
@@ -69,6 +71,56 @@ def nearest(
     return numbered.join(best, "qid").drop("qid")
 
 
+@dataclass(frozen=True)
+class KeptPoints:
+    """Points kept as a table bucketed and sorted by grid cell, and the list of its crowded cells."""
+
+    table: DataFrame
+    crowded: DataFrame
+    any_crowded: bool
+    cell_deg: float
+
+
+def keep_points(points: DataFrame, payload: Sequence[str], cell_deg: float, hot_cell: int = HOT_CELL, buckets: int | None = None) -> KeptPoints:
+    """Write points (lat, lon, ``payload``; one row per position) once, so that later searches move the queries only.
+
+    The table lies in the shared folder and in the session's catalogue, bucketed by cell into as many buckets as there are
+    shuffle partitions, unless told otherwise.
+    """
+    spark = points.sparkSession
+    name = f"kept_{uuid.uuid4().hex}"
+    here = points.select(F.lit(0).cast("long").alias("part"), "lat", "lon", *payload)
+    placed = _locate_points(here, F.lit(float(cell_deg)), payload)
+    first = F.struct("point.lat", "point.lon", *[f"point.{c}" for c in payload])  # position before payload
+    placed = placed.select("cell", "x", "z", first.alias("point"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = placed.repartition(n, "cell").write.bucketBy(n, "cell").sortBy("cell").format("parquet")
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    crowded = cut_lineage(table.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_cell).select("cell"))
+    return KeptPoints(table, crowded, not crowded.isEmpty(), cell_deg)
+
+
+def nearest_kept(queries: DataFrame, kept: KeptPoints, hot_cell: int = HOT_CELL) -> DataFrame:
+    """Nearest kept point of every query (lat, lon, radius_km, ...) within its radius, as the query's columns plus ``hit``.
+
+    ``hit`` = struct(mm, lat, lon, payload...), the smallest of the nearest. The queries are moved to the buckets; the kept table is not exchanged.
+    """
+    h = F.lit(float(kept.cell_deg))
+    numbered = cut_lineage(queries.withColumn("qid", F.monotonically_increasing_id()))
+    asked = _cells_of_queries(numbered.withColumn("part", F.lit(0).cast("long")), h)
+    if not kept.any_crowded:
+        found = _measure(asked, kept.table, ["cell"])
+    else:
+        part = F.lit(0).cast("long").alias("part")
+        crowded = kept.table.join(kept.crowded, "cell", "left_semi").select(part, "cell", "x", "z", "point")
+        frontier = asked.join(kept.crowded, "cell", "left_semi").select(*_QUERY, "cell")
+        ordinary = asked.join(kept.crowded, "cell", "left_anti")
+        found = _measure(ordinary, kept.table, ["cell"]).unionByName(_descend(frontier, crowded, h, hot_cell))
+    best = found.groupBy("qid").agg(F.min("hit").alias("hit"))
+    return numbered.join(best, "qid").drop("qid")
+
+
 def _join_key(cell: Column) -> Column:
     """Declare a cell number never null, so a join adds no null test that would be
     pushed down and evaluate the whole expression a second time at the scan."""
@@ -105,12 +157,12 @@ def _cells_of_queries(queries: DataFrame, h: Column) -> DataFrame:
     return by_cell.select(*_QUERY, cell.alias("cell"))
 
 
-def _measure(asked: DataFrame, located: DataFrame) -> DataFrame:
+def _measure(asked: DataFrame, located: DataFrame, on: Sequence[str] = ("part", "cell")) -> DataFrame:
     """Candidates inside the radius, from the cells both sides share."""
-    left = asked.select("part", "cell", "qid", "radius_km", geo.unit_vector(F.col("lat"), F.col("lon")).alias("u"))
-    right = located.select("part", "cell", "point", geo.unit_vector(F.col("point.lat"), F.col("point.lon")).alias("v"))
+    left = asked.select(*on, "qid", "radius_km", geo.unit_vector(F.col("lat"), F.col("lon")).alias("u"))
+    right = located.select(*on, "point", geo.unit_vector(F.col("point.lat"), F.col("point.lon")).alias("v"))
     return (
-        left.join(right, ["part", "cell"])
+        left.join(right, list(on))
         .withColumn("km", geo.chord_to_km(geo.chord_squared(F.col("u"), F.col("v"))))
         .where(F.col("km") <= F.col("radius_km") + 1e-9)
         .select("qid", F.struct(geo.distance_mm(F.col("km")).alias("mm"), "point.*").alias("hit"))

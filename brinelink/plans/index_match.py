@@ -13,19 +13,25 @@ from brinelink.operators.enrich import (
     match_to_index,
     unique_profiles,
 )
+from brinelink.operators.nearest import KeptPoints
 from brinelink.operators.summaries import describe
 from brinelink.sources.readers import index_in_range
 
 
 def build_lookup(
     matchups: Sequence[DataFrame],
-    index: DataFrame,
+    index: DataFrame | KeptPoints,
     start: str | None = None,
     end: str | None = None,
     max_dist_km: float = MAX_INDEX_DIST_KM,
     max_gap_s: float = MAX_INDEX_GAP_S,
 ) -> DataFrame:
-    return match_to_index(unique_profiles(*matchups), index_in_range(index, start, end), max_dist_km, max_gap_s)
+    """Nearest index entry of the profiles of all tables. An index kept by ``keep_index`` is taken whole."""
+    if not isinstance(index, KeptPoints):
+        index = index_in_range(index, start, end)
+    elif start is not None or end is not None:
+        raise ValueError("dates are chosen before an index is kept")
+    return match_to_index(unique_profiles(*matchups), index, max_dist_km, max_gap_s)
 
 
 def lookup_report(lookup: DataFrame) -> DataFrame:

@@ -18,8 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinelink.functions.quality import in_range
+from brinelink.operators.enrich import keep_index
+from brinelink.operators.nearest import KeptPoints
 from brinelink.session import prepare, shared_folder
-from brinelink.sources.readers import read_table
+from brinelink.sources.readers import index_in_range, read_table
 from brinelink.sources.writers import path_exists, write_table
 
 EPOCH_2024 = 1704067200
@@ -44,9 +47,9 @@ from (select event_id, user_id, user_id % 150 as site, cast(floor(epoch(ts)) as
 from prof p cross join (values (-4),(-3),(-2),(-1),(0),(1),(2),(3),(4)) r(o) cross join (values (1),(3),(5),(7)) l(depth)""",
     "idx": """select wmo, eid as prof_cyc, concat('dac/', cast(wmo as varchar), '/', cast(eid as varchar), '.nc') as file,
   t + (eid % 3)*60 + case when eid % 41 = 0 then 1200 else 0 end as t,
-  case when eid % 211 = 0 then null else lat + case when eid % 53 = 0 then 0.02e0 else 0e0 end end as latitude, lon as longitude,
+  case when eid % 211 = 0 then null else lat + case when eid % 20 = 7 then 0.5e0 when eid % 53 = 0 then 0.02e0 else 0e0 end end as latitude, lon as longitude,
   case when wmo % 2 = 0 then 'east' else 'west' end as dac
-from prof where eid % 20 <> 7""",
+from prof""",
     "del": """select concat('dac/', cast(p.wmo as varchar), '/', cast(p.eid as varchar), '.nc') as file, cast(l.pres as double) as pres,
   cast(3000 + (p.eid % 50)*10 + l.pres as double)/100e0 as psal,
   case when p.eid % 4 = 0 then null else cast(300000 + (p.eid % 50)*1000 + l.pres*100 + (p.eid % 7) - 3 as double)/10000e0 end as psal_adjusted,
@@ -187,21 +190,29 @@ def _file(wmo, eid):
 @stored
 def profile_index(spark: SparkSession, sf: str) -> DataFrame:
     eid = F.col("eid")
-    return (
-        prof(spark, sf)
-        .where(eid % 20 != 7)
-        .select(
-            _time(F.col("t") + (eid % 3) * 60 + F.when(eid % 41 == 0, 1200).otherwise(0)).alias("date"),
-            F.when(eid % 211 != 0, F.col("lat") + F.when(eid % 53 == 0, F.lit(0.02)).otherwise(F.lit(0.0))).alias("latitude"),
-            F.col("lon").alias("longitude"),
-            "wmo",
-            eid.alias("cyc"),
-            _file(F.col("wmo"), eid).alias("file"),
-            F.when(F.col("wmo") % 2 == 0, "east").otherwise("west").alias("dac"),
-        )
+    moved = F.when(eid % 20 == 7, 0.5).when(eid % 53 == 0, 0.02).otherwise(0.0)
+    return prof(spark, sf).select(
+        _time(F.col("t") + (eid % 3) * 60 + F.when(eid % 41 == 0, 1200).otherwise(0)).alias("date"),
+        F.when(eid % 211 != 0, F.col("lat") + moved).alias("latitude"),
+        F.col("lon").alias("longitude"),
+        "wmo",
+        eid.alias("cyc"),
+        _file(F.col("wmo"), eid).alias("file"),
+        F.when(F.col("wmo") % 2 == 0, "east").otherwise("west").alias("dac"),
     )
 
 
+_kept: dict[tuple[str, str], KeptPoints] = {}
+
+
+def kept_index(spark: SparkSession, sf: str) -> KeptPoints:
+    """The profile index as a bucketed table, made on first use."""
+    key = (prepare(spark).sparkContext.applicationId, sf)
+    if key not in _kept:
+        _kept[key] = keep_index(index_in_range(profile_index(spark, sf)))
+    return _kept[key]
+
+
 @stored
 def delayed_profiles(spark: SparkSession, sf: str) -> DataFrame:
     eid, pres = F.col("eid"), F.col("level")
@@ -274,16 +285,23 @@ def pairs(spark: SparkSession, sf: str, sensor: str = "smap") -> DataFrame:
 # Satellite rows with a truth the corrections can learn, their month stretched to the three
 # years of the default split windows.
 EPOCH_2021 = 1609459200
-SQL["learn"] = """select *, sat_sss - 0.5e0 - 0.05e0*abs(sat_lat) - 0.3e0*sin(2e0*pi()*dayofyear(make_timestamp(sat_t*1000000))/365.25e0) + (sat_t % 7 - 3)*0.01e0 as argo_salinity,
+SQL["learn_all"] = """select *, sat_sss - 0.5e0 - 0.05e0*abs(sat_lat) - 0.3e0*sin(2e0*pi()*dayofyear(make_timestamp(sat_t*1000000))/365.25e0) + (sat_t % 7 - 3)*0.01e0 as argo_salinity,
   cast(floor((sat_t+10800)/21600e0) as bigint) as cyc
 from (select lat as sat_lat, lon as sat_lon, sss as sat_sss, oceanBasin as sat_oceanBasin, 1609459200 + cast(floor((t - 1704067200)*73/2e0) as bigint) as sat_t
-  from sat where sss between 20 and 42) z"""
-_NEEDS["learn"] = ["sat"]
+  from sat) z"""
+SQL["learn"] = "select * from learn_all where sat_sss between 20 and 42"
+_NEEDS["learn_all"] = ["sat"]
+_NEEDS["learn"] = ["sat", "learn_all"]
 
 
-@stored
 def learnable(spark: SparkSession, sf: str) -> DataFrame:
-    sat = _sat_rows(spark, sf).where(F.col("sss").between(20, 42))
+    """The rows that pass the library's range filter, as in every matchup table."""
+    return learnable_all(spark, sf).where(in_range(F.col("sat_sss")))
+
+
+@stored
+def learnable_all(spark: SparkSession, sf: str) -> DataFrame:
+    sat = _sat_rows(spark, sf)
     passed = F.col("t") - EPOCH_2024
     seconds = F.col("sat_t")
     season = F.sin(F.lit(2 * math.pi) * F.dayofyear(_time(seconds)) / 365.25)

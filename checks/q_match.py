@@ -118,7 +118,7 @@ def _profiles(spark, sf):
 
 def _lookup(spark, sf):
     return index_match.build_lookup(
-        [fx.pairs(spark, sf, s) for s in ("smap", "smos")], fx.profile_index(spark, sf)
+        [fx.pairs(spark, sf, s) for s in ("smap", "smos")], fx.kept_index(spark, sf)
     )
 
 
@@ -127,7 +127,7 @@ def _lookup(spark, sf):
     query(["pairs", "idx"], _LOOKUP, f"select argo_lat, argo_lon, argo_t, wmo, cyc, file, dac, index_t, {r('dist_km')} as dist_km, time_delta_s, matched from lookup"),
 )
 def _(spark, sf):
-    found = enrich.match_to_index(_profiles(spark, sf), fx.profile_index(spark, sf).dropna(subset=["latitude", "longitude"]))
+    found = enrich.match_to_index(_profiles(spark, sf), fx.kept_index(spark, sf))
     return found.select(
         "argo_lat", "argo_lon", secs("argo_datetime").alias("argo_t"), "wmo", "cyc", "file", "dac",
         secs("index_date").alias("index_t"), rnd("dist_km").alias("dist_km"), "time_delta_s", "matched",

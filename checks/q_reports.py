@@ -75,7 +75,7 @@ _AGEING = (
 
 def _ageing(spark, sf):
     tables = {s: fx.pairs(spark, sf, s) for s in ("smap", "smos")}
-    lookup = index_match.build_lookup(list(tables.values()), fx.profile_index(spark, sf))
+    lookup = index_match.build_lookup(list(tables.values()), fx.kept_index(spark, sf))
     return ageing.ageing_table(tables, lookup, fx.delayed_profiles(spark, sf), WINDOWS)
 
 

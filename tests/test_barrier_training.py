@@ -1,0 +1,40 @@
+"""Training in barrier stages: the same history as a job per epoch, however many tasks, and after lost rounds."""
+
+import numpy as np
+import pytest
+
+from brinelink.models import network
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 2))
+    y = 0.5 * x[:, 0] - np.abs(x[:, 1]) + rng.normal(size=3000) * 0.1
+    side = np.where(np.arange(3000) % 5 == 0, "val", "train")
+    data = [(float(a), float(b), float(c), str(s)) for (a, b), c, s in zip(x, y, side)]
+    return spark.createDataFrame(data, "a double, b double, y double, partition string").repartition(5).persist()
+
+
+def fit(rows, tasks, **kw):
+    return network.train_network(rows, ["a", "b"], "y", max_epochs=60, learning_rate=0.01, tasks=tasks, **kw)
+
+
+def test_history_does_not_depend_on_the_tasks(rows, monkeypatch):
+    monkeypatch.setattr(network, "ROUND", 25)  # three stages
+    by_job = fit(rows, 0)
+    assert len(by_job.history) == 60 and by_job.history[-1][1] < by_job.history[0][1] / 2
+    for tasks in (1, 3):
+        staged = fit(rows, tasks)
+        np.testing.assert_allclose(staged.history, by_job.history, rtol=1e-9)
+        np.testing.assert_allclose(staged.flat(), by_job.flat(), rtol=1e-6, atol=1e-9)
+
+
+def test_early_stop_is_the_same(rows):
+    a, b = fit(rows, 2, patience=1, seed=3), fit(rows, 0, patience=1, seed=3)
+    assert len(a.history) == len(b.history)
+
+
+def test_needs_both_sides(rows):
+    with pytest.raises(ValueError):
+        fit(rows.where("partition = 'train'"), 2)
