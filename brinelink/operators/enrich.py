@@ -18,9 +18,11 @@ PROFILE_ID = ["argo_lat", "argo_lon", "argo_datetime"]
 MAX_INDEX_DIST_KM = 1.0
 MAX_INDEX_GAP_S = 600
 
-HOT_INDEX_CELL = 64
-#: Cells of the kept index; its first ring is half of it, about 14 km.
-KEPT_CELL_DEG = 0.25
+#: Positions of a cell that a query is measured against one by one; a round through summaries costs more than these.
+HOT_INDEX_CELL = 1024
+#: Cells of the kept index, about 3.5 km, and the radii of its rings in parts of one.
+KEPT_CELL_DEG = 1 / 32
+RINGS = (1 / 128, 1 / 2)
 _CELL_SIZES = (1 / 64, 1 / 8, 1.0, 8.0, 45.0)
 
 
@@ -86,20 +88,24 @@ def keep_index(index: DataFrame, hot_cell: int = HOT_INDEX_CELL, buckets: int |
 def _nearest_kept_entry(asked: DataFrame, kept: KeptPoints, hot_cell: int) -> DataFrame:
     """Nearest entry of every position: argo_lat, argo_lon, near_lat, near_lon, entry.
 
-    The first ring, half a cell wide, is searched in the kept table. Positions that it holds nothing for, few where the
-    index covers the profiles, are searched at any distance.
+    Rings grow around the positions that are left: whatever a ring holds, its nearest is the answer. Positions that the last ring
+    holds nothing for, few where the index covers the profiles, are searched at any distance.
     """
-    out = [F.col("lat").alias("argo_lat"), F.col("lon").alias("argo_lon"), "near_lat", "near_lon", "entry"]
-    ring = asked.withColumn("radius_km", F.lit(kept.cell_deg / 2 * geo.KM_PER_DEGREE))
-    found = nearest_kept(ring, kept, hot_cell)
-    found = cut_lineage(found.select("lat", "lon", F.col("hit.lat").alias("near_lat"), F.col("hit.lon").alias("near_lon"), "hit.entry"))
-    rest = cut_lineage(asked.join(found, ["lat", "lon"], "left_anti"))
-    if rest.isEmpty():
-        return found.select(*out)
-    entries = kept.table.select(F.col("point.lat").alias("near_lat"), F.col("point.lon").alias("near_lon"), "point.entry")
-    far = nearest_position(rest, entries.select(F.col("near_lat").alias("lat"), F.col("near_lon").alias("lon")), hot_cell)
-    far = far.join(entries, ["near_lat", "near_lon"])
-    return found.unionByName(far.select(*found.columns)).select(*out)
+    out = ["lat", "lon", "near_lat", "near_lon", "entry"]
+    rings, rest = [], asked
+    for part in RINGS:
+        ring = rest.withColumn("radius_km", F.lit(part * kept.cell_deg * geo.KM_PER_DEGREE))
+        found = nearest_kept(ring, kept, hot_cell)
+        found = cut_lineage(found.select("lat", "lon", F.col("hit.lat").alias("near_lat"), F.col("hit.lon").alias("near_lon"), "hit.entry"))
+        rings.append(found)
+        rest = cut_lineage(rest.join(found, ["lat", "lon"], "left_anti"))
+        if rest.isEmpty():
+            break
+    else:
+        entries = kept.table.select(F.col("point.lat").alias("near_lat"), F.col("point.lon").alias("near_lon"), "point.entry")
+        far = nearest_position(rest, entries.select(F.col("near_lat").alias("lat"), F.col("near_lon").alias("lon")), hot_cell)
+        rings.append(far.join(entries, ["near_lat", "near_lon"]).select(*out))
+    return reduce(DataFrame.unionByName, rings).withColumnsRenamed({"lat": "argo_lat", "lon": "argo_lon"})
 
 
 def match_to_index(
