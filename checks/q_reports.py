@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from brinelink.models import compare, linear, network, scaler
+from brinelink.models import compare, linear, network, scaler, validation
 from brinelink.operators import audits, extra_qc, features, gating, grid, metrics, split
 from brinelink.plans import ageing, index_match, leakage, train_and_compare
 from brinelink.plans.coverage import coverage_scan
@@ -692,3 +692,33 @@ _FOLDS = split.expanding_folds(date(2024, 1, 1), 10, 5, 2, 3)
 def _(spark, sf):
     return split.assign_folds(fx.pairs_all(spark, sf), _FOLDS).groupBy("fold", "partition").agg(F.count(F.lit(1)).alias("n"))
 
+
+_LEARN_FOLDS = split.expanding_folds(date(2021, 1, 1), 365, 90, 14, 7)
+_LF = (
+    "lf",
+    " union all ".join(f"select cast({k} as int) as fold, '{a}' as t0, '{b}' as t1, '{c}' as v0, '{d}' as v1" for k, a, b, c, d in _LEARN_FOLDS),
+)
+_FOLD_ROWS = (
+    "fr",
+    f"select fold, case when {cdate()} between t0 and t1 then 'train' else 'val' end as side, sat_sss - argo_salinity as d from learn join lf on {cdate()} between t0 and t1 or {cdate()} between v0 and v1",
+)
+_FOLD_SUMS = ("fs", "select fold, cast(count(*) filter (where side = 'train') as bigint) as n_train, cast(count(*) filter (where side = 'val') as bigint) as n_val, avg(d) filter (where side = 'train') as m from fr group by fold")
+_FOLD_OUT = " union all ".join(
+    f"select s.fold, '{name}' as method, n_train, n_val, {r(f'sqrt(avg(({e})*({e})))')} as rmse, {r(f'avg({e})')} as bias from fr join fs s using (fold) where side = 'val' group by s.fold, n_train, n_val"
+    for name, e in (("raw", "d"), ("constant_bias", "d - m"))
+)
+
+
+def _fold_errors(spark, sf):
+    rows = features.add_features(fx.learnable(spark, sf))
+    return rounded(validation.fold_errors(rows, _LEARN_FOLDS, features.FEATURE_COLUMNS), "rmse", "bias")
+
+
+@check("E15_fold_errors", query(["learn"], [_LF, _FOLD_ROWS, _FOLD_SUMS], _FOLD_OUT))
+def _(spark, sf):
+    return _fold_errors(spark, sf).where("method <> 'linear_regression'")
+
+
+@check("E15_fold_errors_linear")
+def _(spark, sf):
+    return _fold_errors(spark, sf).where("method = 'linear_regression'")
