@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from brinelink.functions import quality as q
 from brinelink.operators.profiles import CYCLE, PROFILE_KEY, profile_means, with_true_time
+from brinelink.session import cut_lineage
 
 #: Rank error of the sketch that brackets a percentile, as a part of the group.
 _SKETCH = 10_000
 #: A group of no more rows is its own bracket.
 _SMALL_GROUP = 20_000
+#: Different values of one bracket that a task may rank; wider brackets are narrowed first.
+RANK_LIMIT = 200_000
+#: Bins that a bracket is narrowed by in a round.
+_BINS = 512
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -21,8 +26,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
 
     A sketch of each group brackets every wanted rank between two of its values that lie less than
     a thousandth of the group apart; only the different values inside are ranked, and those below
-    are counted. Brackets follow the data, so outliers do not widen them. ``probs`` maps output
-    column names to fractions.
+    are counted. Brackets follow the data, so outliers do not widen them. Where a thousandth of the largest group is more
+    than ``RANK_LIMIT`` values, rounds of counted histograms shrink the brackets until a task can rank them. ``probs`` maps
+    output column names to fractions.
     """
     by = list(by)
     keyed = df.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0).alias("_")).alias("g"), F.col(value).alias("v"))
@@ -30,6 +36,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     ends = [[max(0.0, p - delta), min(1.0, p + delta)] for p in probs.values()]
     sketch = F.percentile_approx("v", [float(x) for pair in ends for x in pair], _SKETCH)
     span = keyed.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), sketch.alias("q"))
+    span = cut_lineage(span)  # one row per group
+    largest = span.agg(F.max("n")).first()[0] or 0
     small = F.col("n") <= _SMALL_GROUP
     wanted = F.array(
         *[
@@ -51,11 +59,17 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     key = ["g", "w"]
     below = placed.groupBy(*key).agg(F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("before"))
     running = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.where(inside).withColumn("upto", F.sum("c").over(running)).join(below, key)
-    ranked = ranked.withColumn("top", F.col("before") + F.col("upto"))
+    held = placed.where(inside).select(*key, "v", "c")
     ends_of = F.explode(F.array_distinct(F.array(F.floor("w.pos"), F.ceil("w.pos")))).alias("rank")
+    if max(min(largest, _SMALL_GROUP), 3 * delta * largest) > RANK_LIMIT:
+        # the two ranks around a position may lie far apart, so each has its own bracket from here on
+        held, below = _narrowed(held.select("*", ends_of), below.select("*", ends_of))
+        key = ["g", "w", "rank"]
+        running = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("upto", F.sum("c").over(running)).join(below, key)
+    ranked = ranked.withColumn("top", F.col("before") + F.col("upto"))
     values = (
-        ranked.select("g", "v", "top", "c", "w", ends_of)
+        ranked.select("g", "v", "top", "c", "w", "rank" if "rank" in key else ends_of)
         .where((F.col("rank") < F.col("top")) & (F.col("rank") >= F.col("top") - F.col("c")))
         .select("g", "v", F.struct("w.name", "w.pos", "rank").alias("w"))
     )
@@ -68,6 +82,34 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: Se
     return out.select(*[F.col(f"g.{c}").alias(c) for c in by], *probs)
 
 
+def _narrowed(held: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values (g, w, rank, v, c) of every bracket cut down to ``RANK_LIMIT`` around its rank, and the rows before them.
+
+    A round counts each crowded bracket in ``_BINS`` bins between its least and greatest value, keeps the bin that holds the
+    rank and adds the bins below to the rows before. The least and the greatest value never share a bin, so
+    rounds end. No task sees more of a bracket than its bins.
+    """
+    key = ["g", "w", "rank"]
+    below, held = cut_lineage(below), cut_lineage(held)
+    while True:
+        sizes = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        sizes = cut_lineage(sizes)  # one row per bracket
+        crowded = F.col("n") > RANK_LIMIT
+        if sizes.where(crowded).isEmpty():
+            return held, below
+        at = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BINS)
+        binned = held.join(F.broadcast(sizes.where(crowded)), key).withColumn("bin", F.least(at, F.lit(_BINS - 1)))
+        upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = binned.groupBy(*key, "bin").agg(F.sum("c").alias("m")).join(below, key)
+        bins = bins.withColumn("last", F.col("before") + F.sum("m").over(upto)).withColumn("first", F.col("last") - F.col("m"))
+        holds = (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("last"))
+        chosen = cut_lineage(bins.where(holds).select(*key, "bin", F.col("first").alias("before")))
+        kept = binned.join(F.broadcast(chosen), [*key, "bin"], "left_semi").select(*key, "v", "c")
+        calm = held.join(F.broadcast(sizes.where(crowded).select(*key)), key, "left_anti").select(*key, "v", "c")
+        below = cut_lineage(below.select(*key, "before").join(chosen.select(*key), key, "left_anti").unionByName(chosen.select(*key, "before")))
+        held = cut_lineage(calm.unionByName(kept))
+
+
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (sample), min, quartiles and max of a column per group."""
     by = list(by)
