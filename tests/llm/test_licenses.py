@@ -85,16 +85,17 @@ def test_by_hand(docs_of):
 def test_contained_detections_go(spark):
     book = L.rules()
     rule = {p: next(r[0] for r in book if r[2] == p) for p in L.PRIORITIES}
-    places = [(1, rule[4], 2, 4), (1, rule[2], 0, 5), (1, rule[1], 2, 3), (1, rule[3], 4, 9), (1, rule[0], 2, 4), (2, rule[4], 2, 4), (2, rule[4] + 1, 2, 4)]
+    one, two = [r[0] for r in book if r[2] == 4][:2]
+    places = [(1, rule[4], 2, 4), (1, rule[2], 0, 5), (1, rule[1], 2, 3), (1, rule[3], 4, 9), (1, rule[0], 3, 5), (2, one, 2, 4), (2, two, 2, 4)]
     got = {(r.uid, r.rule): r.kept for r in L.survivors(spark.createDataFrame(places, "uid long, rule int, start int, end int")).collect()}
     assert got == {
-        (1, rule[4]): False,
+        (1, rule[4]): False,  # inside one of a better priority
         (1, rule[2]): True,
-        (1, rule[1]): True,
-        (1, rule[3]): True,
-        (1, rule[0]): True,
-        (2, rule[4]): True,
-        (2, rule[4] + 1): False,
+        (1, rule[1]): True,  # inside a worse one
+        (1, rule[3]): True,  # overlaps
+        (1, rule[0]): True,  # base stays
+        (2, one): True,  # alike: the first
+        (2, two): False,
     }
 
 
