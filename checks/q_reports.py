@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brinelink.models import compare, linear, network, scaler, validation
 from brinelink.operators import audits, extra_qc, features, gating, grid, metrics, split
+from brinelink.operators.boxes import within_box_bounds
 from brinelink.plans import ageing, index_match, leakage, train_and_compare
 from brinelink.plans.coverage import coverage_scan
 from brinelink.session import shared_folder
@@ -722,3 +723,48 @@ def _(spark, sf):
 @check("E15_fold_errors_linear")
 def _(spark, sf):
     return _fold_errors(spark, sf).where("method = 'linear_regression'")
+
+
+_BOXES = (
+    "bx",
+    "select *, (lat_hi - lat_lo)*(case when lon_lo > lon_hi then lon_hi - lon_lo + 360e0 else lon_hi - lon_lo end) as area from (select concat('box', cast(p_partkey as varchar)) as region, cast((p_partkey*37) % 170 - 85 as double) as lat_lo, "
+    "cast((p_partkey*37) % 170 - 84 + p_partkey % 4 as double) as lat_hi, cast((p_partkey*71) % 360 - 180 as double) as lon_lo, "
+    "cast(case when (p_partkey*71) % 360 - 179 + p_partkey % 7 > 180 then (p_partkey*71) % 360 - 539 + p_partkey % 7 else (p_partkey*71) % 360 - 179 + p_partkey % 7 end as double) as lon_hi, "
+    "cast(p_partkey % 33 as double) as low, cast(p_partkey % 33 + 8 as double) as high from part) z",
+)
+_BOX_HIT = (
+    "hit",
+    "select lat, lon, min({'area': area, 'region': region, 'low': low, 'high': high}) as box from (select distinct lat, lon from sat) p join bx on lat between lat_lo and lat_hi "
+    "and case when lon_lo > lon_hi then lon >= lon_lo or lon <= lon_hi else lon between lon_lo and lon_hi end group by lat, lon",
+)
+
+
+def _boxes(spark, sf):
+    """A box for every part, some over the date line."""
+    key = F.col("p_partkey")
+    west = (key * 71) % 360 - 180
+    east = west + 1 + key % 7
+    south = (key * 37) % 170 - 85
+    return fx.table(spark, sf, "part").select(
+        F.concat(F.lit("box"), key.cast("string")).alias("region"),
+        south.cast("double").alias("lat_lo"),
+        (south + 1 + key % 4).cast("double").alias("lat_hi"),
+        west.cast("double").alias("lon_lo"),
+        F.when(east > 180, east - 360).otherwise(east).cast("double").alias("lon_hi"),
+        (key % 33).cast("double").alias("low"),
+        (key % 33 + 8).cast("double").alias("high"),
+    )
+
+
+@check(
+    "E10_box_table",
+    query(
+        ["sat"],
+        [_BOXES, _BOX_HIT],
+        "select s.lat, s.lon, sss, coalesce(box.region, 'global') as region, coalesce(box.low, 2e0) as low, coalesce(box.high, 41e0) as high, "
+        "coalesce(sss between coalesce(box.low, 2e0) and coalesce(box.high, 41e0), false) as in_bounds from sat s left join hit h on s.lat = h.lat and s.lon = h.lon",
+    ),
+)
+def _(spark, sf):
+    out = within_box_bounds(fx.sat_obs(spark, sf), "sss", _boxes(spark, sf), extra_qc.GLOBAL_BOUNDS)
+    return out.select("lat", "lon", "sss", "region", "low", "high", "in_bounds")
