@@ -8,18 +8,42 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from brinelink.models import compare, linear, network, scaler, validation
-from brinelink.operators import audits, extra_qc, features, gating, grid, metrics, split
+from brinelink.operators import audits, extra_qc, features, gating, grid, groups, match, metrics, split
 from brinelink.operators.boxes import within_box_bounds
+from brinelink.operators.support_tree import Tier, support_tree, tiered_correction
 from brinelink.plans import ageing, index_match, leakage, train_and_compare
 from brinelink.plans.coverage import coverage_scan
-from brinelink.session import shared_folder
+from brinelink.session import cut_lineage, shared_folder
 from brinelink.sources.writers import write_table
 from checks import fixtures as fx
 from checks import sqlparts as sp
+from checks.regression_sql import least_squares
 from checks.q_match import _GROUP, _KNOWN, _LOOKUP, _SPLIT, DELAYED, labelled
 from checks.registry import WINDOWS, check, metrics_out, rnd, rounded, secs, text
 from checks.sqlparts import cdate, gidx, part, query, r
 
+_DOY = "2e0*pi()*dayofyear(make_timestamp(sat_t*1000000))/365.25e0"
+_FEATURES = {
+    "sat_sss": "sat_sss", "sat_lat": "sat_lat", "lon_sin": "sin(radians(sat_lon))", "lon_cos": "cos(radians(sat_lon))",
+    "doy_sin": f"sin({_DOY})", "doy_cos": f"cos({_DOY})",
+    **{f"basin_{i}": f"case when sat_oceanBasin = {i} then 1e0 else 0e0 end" for i in range(6)},
+}
+
+
+def fitted_on(name, train, test, names=tuple(_FEATURES)):
+    """CTEs that fit the constant and the linear correction on the matchup rows of ``train`` and predict those of ``test``."""
+    added = ", ".join(f"{e} as {n}" for n, e in _FEATURES.items() if e != n)
+    fit, linear_sql = least_squares(f"{name}_ols", f"{name}_train", names, "argo_salinity")
+    offset = f"(select avg(sat_sss - argo_salinity) from {name}_train)"
+    return [
+        (f"{name}_train", f"select *, {added} from ({train}) z"),
+        *fit,
+        (name, f"select *, sat_sss - {offset} as pred_constant, {linear_sql} as pred_linreg from (select *, {added} from ({test}) z) y cross join {name}_ols_w"),
+    ]
+
+
+METHODS = {"raw": "pred_raw", "constant_bias": "pred_constant", "linear_regression": "pred_linreg"}
+METHODS_SQL = {**METHODS, "raw": "sat_sss"}
 M = sp.metrics("sat_sss", "argo_salinity")
 BAND = (
     "case when sat_lat >= -90 and sat_lat < -60 then -90 when sat_lat >= -60 and sat_lat < -30 then -60 when sat_lat >= -30 and sat_lat < 30 then -30 "
@@ -50,17 +74,30 @@ def _(spark, sf):
     return metrics_out(metrics.metrics_by_basin(fx.pairs_all(spark, sf), "sat_sss", "argo_salinity", by=["sensor"]))
 
 
+_PFIT = fitted_on("pfit", "select * from sp where sensor = 'smap' and part = 'train'", "select * from grp where sensor = 'smap'")
 _M_GROUP = (
     "mg",
-    "select 'raw' as method, g.gname as \"group\", sat_sss as pred, argo_salinity from grp cross join lateral (select unnest(['overall', float_group]) as gname) g where sensor = 'smap' "
-    "union all select 'shifted', g.gname, sat_sss - 0.5e0, argo_salinity from grp cross join lateral (select unnest(['overall', float_group]) as gname) g where sensor = 'smap'",
+    " union all ".join(
+        f"select '{m}' as method, g.gname as \"group\", {p} as pred, argo_salinity from pfit cross join lateral (select unnest(['overall', float_group]) as gname) g"
+        for m, p in METHODS_SQL.items()
+    ),
 )
 
 
-@check("A11_metrics_by_float_group", query(["pairs"], [_SPLIT, _GROUP, _M_GROUP], f"select method, \"group\", {sp.metrics('pred', 'argo_salinity')} from mg group by method, \"group\""))
+def _pair_predictions(spark, sf):
+    """Raw, constant and linear predictions on the test days of the first sensor's matchups."""
+    return train_and_compare.fit_and_predict(fx.pairs(spark, sf), WINDOWS, with_network=False)[1]
+
+
+def _by_group(spark, sf):
+    train = split.split_by_date(fx.pairs(spark, sf), WINDOWS).where(F.col("partition") == "train")
+    rows = groups.label_membership(_pair_predictions(spark, sf), train)
+    return metrics.metrics_by_group(rows, METHODS, "argo_salinity", "float_group")
+
+
+@check("A11_metrics_by_float_group", query(["pairs"], [_SPLIT, _GROUP, *_PFIT, _M_GROUP], f"select method, \"group\", {sp.metrics('pred', 'argo_salinity')} from mg group by method, \"group\""))
 def _(spark, sf):
-    rows = labelled(spark, sf).withColumn("shifted", F.col("sat_sss") - 0.5)
-    return metrics_out(metrics.metrics_by_group(rows, {"raw": "sat_sss", "shifted": "shifted"}, "argo_salinity", "float_group"))
+    return metrics_out(_by_group(spark, sf))
 
 
 @check("A12_group_composition", query(["pairs"], [_SPLIT, _GROUP], "select float_group, cast(count(*) as bigint) as n from grp where sensor = 'smap' group by float_group"))
@@ -149,11 +186,28 @@ def _density(spark, sf):
     return grid.split_density(split.split_by_date(fx.pairs_all(spark, sf), WINDOWS))
 
 
-for _name in ("A19_train_test_density", "D6_density_tables"):
+@check("A19_train_test_density", query(["pairs"], [_GRID, _DENS], _DENS_OUT))
+def _(spark, sf):
+    return rounded(_density(spark, sf), "log10_train", "log10_test", "vmax")
+
+
+# The matchup table that the matching job writes, in SQL.
+_BUILT = (
+    "built",
+    "select 'smap' as sensor, lat as argo_lat, lon as argo_lon, t as argo_t, salinity as argo_salinity, sss as sat_sss, slat as sat_lat, slon as sat_lon, st as sat_t, sb as sat_oceanBasin, cyc from matchups",
+)
+_BUILT_PARTS = [*sp.matchup_parts("smap", max_diff=10.0), _BUILT]
+
+
+def _built(spark, sf):
+    return cut_lineage(match.build_matchups(fx.argo_obs(spark, sf), fx.sat_obs(spark, sf), "smap"))
 
-    @check(_name, query(["pairs"], [_GRID, _DENS], _DENS_OUT))
-    def _(spark, sf):
-        return rounded(_density(spark, sf), "log10_train", "log10_test", "vmax")
+
+@check("D6_density_tables", query(["sat", "argo"], [*_BUILT_PARTS, ("g", _GRID[1].replace("from pairs", "from built")), _DENS], _DENS_OUT))
+def _(spark, sf):
+    """From raw observations to the density of the matchups that train and test."""
+    rows = split.split_by_date(_built(spark, sf), WINDOWS).withColumn("sensor", F.lit("smap"))
+    return rounded(grid.split_density(rows), "log10_train", "log10_test", "vmax")
 
 
 _SOURCES = ("all", "smap", "smos")
@@ -170,39 +224,74 @@ _COVER_OUT = (
     + ", ".join(f"case when n_{s} > 0 then {r(f'log10(n_{s})')} end as log10_{s}" for s in _SOURCES)
     + f", {r('log10(greatest((select max(n_all) from c), (select max(n_smap) from c), (select max(n_smos) from c)))')} as vmax from c"
 )
-for _name in ("A20_coverage_grids", "D7_coverage_comparison"):
 
-    @check(_name, query(["argo", "pairs"], _COVER, _COVER_OUT))
-    def _(spark, sf):
-        matched = {"smap": fx.pairs(spark, sf, "smap").where(_diff() > 0), "smos": fx.pairs(spark, sf, "smos").where(_diff() < 0)}
-        out = grid.coverage_density(coverage_scan(fx.argo_obs(spark, sf)), matched)
-        return rounded(out, "log10_all", "log10_smap", "log10_smos", "vmax")
 
+@check("A20_coverage_grids", query(["argo", "pairs"], _COVER, _COVER_OUT))
+def _(spark, sf):
+    matched = {"smap": fx.pairs(spark, sf, "smap").where(_diff() > 0), "smos": fx.pairs(spark, sf, "smos").where(_diff() < 0)}
+    out = grid.coverage_density(coverage_scan(fx.argo_obs(spark, sf)), matched)
+    return rounded(out, "log10_all", "log10_smap", "log10_smos", "vmax")
 
-_GEO = [
-    _GRID,
-    (
-        "e",
-        f"select 'raw' as source, lat_idx, lon_idx, count(*) as n, avg(d) as b, sqrt(avg(d*d)) as q from g where sensor = 'smap' group by lat_idx, lon_idx union all "
-        f"select 'corrected', lat_idx, lon_idx, count(*), avg(d - 0.5e0), sqrt(avg((d - 0.5e0)*(d - 0.5e0))) from g where sensor = 'smap' and {part()} = 'test' group by lat_idx, lon_idx",
-    ),
+
+_COVER_BUILT = [
+    _COVER[0],
+    ("u", "select 'all' as source, lat, lon from cov union all select sensor, argo_lat, argo_lon from built"),
+    ("c", f"select lat_idx, lon_idx, {', '.join(f"cast(count(*) filter (where source = '{s}') as bigint) as n_{s}" for s in ('all', 'smap'))} from (select source, {gidx('lat', 'lon')} from u) z group by lat_idx, lon_idx"),
 ]
 
 
+@check(
+    "D7_coverage_comparison",
+    query(
+        ["sat", "argo"],
+        [*_BUILT_PARTS, *_COVER_BUILT],
+        "select lat_idx, lon_idx, n_all, n_smap, "
+        + ", ".join(f"case when n_{s} > 0 then {r(f'log10(n_{s})')} end as log10_{s}" for s in ("all", "smap"))
+        + f", {r('log10(greatest((select max(n_all) from c), (select max(n_smap) from c)))')} as vmax from c",
+    ),
+)
+def _(spark, sf):
+    """All profiles of the archive beside those that the matching job kept."""
+    out = grid.coverage_density(coverage_scan(fx.argo_obs(spark, sf)), {"smap": _built(spark, sf)})
+    return rounded(out, "log10_all", "log10_smap", "vmax")
+
+
+def _geo_parts(full, fit):
+    """Raw error of the rows of ``full`` and that of the fitted line on held-out rows, per cell."""
+    cell = gidx("sat_lat", "sat_lon")
+    return [
+        ("ge", f"select 'raw' as source, {cell}, sat_sss - argo_salinity as d from {full} union all select 'corrected', {cell}, pred_linreg - argo_salinity from {fit}"),
+        ("e", "select source, lat_idx, lon_idx, count(*) as n, avg(d) as b, sqrt(avg(d*d)) as q from ge group by all"),
+    ]
+
+
+_GEO = [_SPLIT, _GROUP, *_PFIT, *_geo_parts("(select * from pairs where sensor = 'smap') z", "pfit")]
+_GEO_OUT = f"select source, lat_idx, lon_idx, cast(n as bigint) as n, case when n >= 5 then {r('b')} end as bias, case when n >= 5 then {r('q')} end as rmse from e"
+
+
 def _geo(spark, sf):
-    full = fx.pairs(spark, sf)
-    test = split.split_by_date(full, WINDOWS).where(F.col("partition") == "test")
-    return grid.geographic_error(full, test.withColumn("pred", F.col("sat_sss") - 0.5), "pred")
+    return grid.geographic_error(fx.pairs(spark, sf), _pair_predictions(spark, sf), "pred_linreg")
 
 
-for _name in ("A21_geographic_error", "D8_geographic_error_tables"):
+@check("A21_geographic_error", query(["pairs"], _GEO, _GEO_OUT))
+def _(spark, sf):
+    return rounded(_geo(spark, sf), "bias", "rmse")
+
+
+_BUILT_FIT = fitted_on(
+    "bfit",
+    f"select * from built where {part()} = 'train'",
+    f"select * from built where {part()} = 'test'",
+    [n for n in _FEATURES if n != "basin_0"],
+)
 
-    @check(
-        _name,
-        query(["pairs"], _GEO, f"select source, lat_idx, lon_idx, cast(n as bigint) as n, case when n >= 5 then {r('b')} end as bias, case when n >= 5 then {r('q')} end as rmse from e"),
-    )
-    def _(spark, sf):
-        return rounded(_geo(spark, sf), "bias", "rmse")
+
+@check("D8_geographic_error_tables", query(["sat", "argo"], [*_BUILT_PARTS, *_BUILT_FIT, *_geo_parts("built", "bfit")], _GEO_OUT))
+def _(spark, sf):
+    """From raw observations through matching and fitting to the error per cell."""
+    matchups = _built(spark, sf)
+    _, predictions = train_and_compare.fit_and_predict(matchups, WINDOWS, with_network=False)
+    return rounded(grid.geographic_error(matchups, predictions, "pred_linreg"), "bias", "rmse")
 
 
 @check("A21_display_scale", query(["pairs"], _GEO, f"select {r('quantile_cont(abs(b), 0.95)')} as bias_scale, {r('quantile_cont(q, 0.95)')} as rmse_scale from e where n >= 5"))
@@ -239,12 +328,6 @@ def _(spark, sf):
     return _split_out(split.split_by_float(fx.pairs_all(spark, sf), WINDOWS, outside="follow"))
 
 
-_DOY = "2e0*pi()*dayofyear(make_timestamp(sat_t*1000000))/365.25e0"
-_FEATURES = {
-    "sat_sss": "sat_sss", "sat_lat": "sat_lat", "lon_sin": "sin(radians(sat_lon))", "lon_cos": "cos(radians(sat_lon))",
-    "doy_sin": f"sin({_DOY})", "doy_cos": f"cos({_DOY})",
-    **{f"basin_{i}": f"case when sat_oceanBasin = {i} then 1e0 else 0e0 end" for i in range(6)},
-}
 _FEAT = ("feat", f"select {sp.learn_part()} as part, argo_salinity, sat_lon, sat_t, " + ", ".join(f"{e} as {n}" for n, e in _FEATURES.items()) + " from learn")
 
 
@@ -323,12 +406,22 @@ def _(spark, sf):
     return linear.gram_matrix(train, _GRAM_NAMES).withColumn("value", rnd(value, 3))
 
 
-@check("M3_linear_regression")
+# Every row of ``learn`` has a basin, so the six indicators add up to the constant and one is left out of the elimination.
+_LP = ("lp", f"select *, {sp.learn_part()} as part from learn")
+_FIT_PARTS = [_LP, *fitted_on("fitted", "select * from lp where part = 'train'", "select * from lp where part = 'test'", [n for n in _FEATURES if n != "basin_0"])]
+
+
+def _predictions(spark, sf):
+    """Raw, constant and linear predictions on the test window."""
+    return train_and_compare.fit_and_predict(fx.learnable(spark, sf), with_network=False)[1]
+
+
+@check("M3_linear_regression", query(["learn"], _FIT_PARTS, f"select sat_lat, sat_lon, sat_sss, {r('argo_salinity')} as argo_salinity, {r('pred_linreg')} as pred_linreg from fitted"))
 def _(spark, sf):
     rows = split.split_by_date(fx.learnable(spark, sf))
     fitted = compare.fit_corrections(rows, with_network=False)
     test = compare.apply_corrections(rows.where(F.col("partition") == "test"), fitted)
-    return test.select("sat_lat", "sat_lon", "sat_sss", "argo_salinity", "pred_linreg")
+    return rounded(test.select("sat_lat", "sat_lon", "sat_sss", "argo_salinity", "pred_linreg"), "argo_salinity", "pred_linreg")
 
 
 @check(
@@ -427,37 +520,25 @@ def _(spark, sf):
     return scored.select("sat_lat", "sat_lon", "sat_sss", rnd("pred_ffann").alias("pred_ffann"))
 
 
-_CMP = (
-    "cmp",
-    f"select 'raw' as method, sat_sss as pred, argo_salinity, sat_lat, sat_oceanBasin from lp where part = 'test' union all "
-    "select 'constant_bias', sat_sss - (select avg(sat_sss - argo_salinity) from lp where part = 'train'), argo_salinity, sat_lat, sat_oceanBasin from lp where part = 'test'",
-)
-_LP = ("lp", f"select *, {sp.learn_part()} as part from learn")
-
-
-def _baselines(spark, sf):
-    rows = split.split_by_date(fx.learnable(spark, sf))
-    offset = linear.fit_constant(rows.where(F.col("partition") == "train"))
-    test = rows.where(F.col("partition") == "test")
-    return test.withColumn("pred_raw", F.col("sat_sss")).withColumn("pred_constant", F.col("sat_sss") - F.lit(offset))
+_CMP = ("cmp", " union all ".join(f"select '{m}' as method, {p} as pred, argo_salinity, sat_lat, sat_oceanBasin from fitted" for m, p in METHODS_SQL.items()))
 
 
-@check("M6_compare_methods", query(["learn"], [_LP, _CMP], f"select method, {sp.metrics('pred', 'argo_salinity')} from cmp group by method"))
+@check("M6_compare_methods", query(["learn"], [*_FIT_PARTS, _CMP], f"select method, {sp.metrics('pred', 'argo_salinity')} from cmp group by method"))
 def _(spark, sf):
-    return metrics_out(train_and_compare.comparison(_baselines(spark, sf)))
+    return metrics_out(train_and_compare.comparison(_predictions(spark, sf)))
 
 
 @check(
     "M6_compare_by_lat_band",
-    query(["learn"], [_LP, _CMP], f"select method, {BAND} as lat_lo, {BAND_HI} as lat_hi, {sp.metrics('pred', 'argo_salinity')} from cmp where {BAND} is not null group by all"),
+    query(["learn"], [*_FIT_PARTS, _CMP], f"select method, {BAND} as lat_lo, {BAND_HI} as lat_hi, {sp.metrics('pred', 'argo_salinity')} from cmp where {BAND} is not null group by all"),
 )
 def _(spark, sf):
-    return metrics_out(train_and_compare.comparison_by_lat_band(_baselines(spark, sf)))
+    return metrics_out(train_and_compare.comparison_by_lat_band(_predictions(spark, sf)))
 
 
-@check("M6_compare_by_basin", query(["learn"], [_LP, _CMP], f"select method, sat_oceanBasin, {sp.metrics('pred', 'argo_salinity')} from cmp group by method, sat_oceanBasin"))
+@check("M6_compare_by_basin", query(["learn"], [*_FIT_PARTS, _CMP], f"select method, sat_oceanBasin, {sp.metrics('pred', 'argo_salinity')} from cmp group by method, sat_oceanBasin"))
 def _(spark, sf):
-    return metrics_out(train_and_compare.comparison_by_basin(_baselines(spark, sf)))
+    return metrics_out(train_and_compare.comparison_by_basin(_predictions(spark, sf)))
 
 
 @check(
@@ -577,14 +658,12 @@ def _(spark, sf):
     "E8_improvement_over_raw",
     query(
         ["pairs"],
-        [_SPLIT, _GROUP, _M_GROUP, ("mm", "select method, \"group\", cast(count(*) as bigint) as n, sqrt(avg((pred - argo_salinity)*(pred - argo_salinity))) as rmse from mg group by all")],
+        [_SPLIT, _GROUP, *_PFIT, _M_GROUP, ("mm", "select method, \"group\", cast(count(*) as bigint) as n, sqrt(avg((pred - argo_salinity)*(pred - argo_salinity))) as rmse from mg group by all")],
         f"select a.method, a.\"group\", a.n, {r('a.rmse')} as rmse, {r('b.rmse')} as base_rmse, {r('(b.rmse - a.rmse)/b.rmse*100e0')} as improvement_pct from mm a join mm b on a.\"group\" = b.\"group\" and b.method = 'raw'",
     ),
 )
 def _(spark, sf):
-    rows = labelled(spark, sf).withColumn("shifted", F.col("sat_sss") - 0.5)
-    table = metrics.metrics_by_group(rows, {"raw": "sat_sss", "shifted": "shifted"}, "argo_salinity", "float_group")
-    return rounded(metrics.improvement_over(table, "raw", ["group"]), "rmse", "base_rmse", "improvement_pct")
+    return rounded(metrics.improvement_over(_by_group(spark, sf), "raw", ["group"]), "rmse", "base_rmse", "improvement_pct")
 
 
 @check(
@@ -607,6 +686,37 @@ def _(spark, sf):
     return out.select("argo_lat", "argo_lon", secs("argo_datetime").alias("argo_t"), "n_train", rnd("pred_gated").alias("pred_gated"))
 
 
+_TIERS = [Tier("linear_regression", "pred_linreg", 3.0), Tier("constant_bias", "pred_constant", 12.0)]
+_ENOUGH = 20
+_SMALL = "cast(least(greatest(floor((sat_lat + 90e0)/0.3515625e0), 0), 511) as int) as fr, cast(least(greatest(floor((sat_lon + 180e0)/0.3515625e0), 0), 1023) as int) as fc"
+_CHOSEN = "case tier when 'linear_regression' then pred_linreg when 'constant_bias' then pred_constant else sat_sss end"
+
+
+@check(
+    "E9_tiered_correction",
+    query(
+        ["pairs"],
+        [
+            _SPLIT,
+            _GROUP,
+            *_PFIT,
+            ("lv", "select cast(unnest(range(8)) as int) as level"),
+            ("tc", f"select level, fr >> (7 - level) as a, fc >> (7 - level) as b, cast(count(*) as bigint) as n from (select {_SMALL} from pfit_train) z cross join lv group by all having count(*) >= {_ENOUGH}"),
+            ("pl", f"select eid, {_SMALL} from pfit"),
+            ("su", "select eid, max(level) as level, arg_max(n, level) as n from (select pl.eid, lv.level, tc.n from pl cross join lv join tc on tc.level = lv.level and tc.a = fr >> (7 - lv.level) and tc.b = fc >> (7 - lv.level)) z group by eid"),
+            ("ti", "select pfit.*, 45e0/pow(2, level) as support_deg, su.n as n_train from pfit left join su using (eid)"),
+            ("tj", "select *, case when support_deg <= 3 then 'linear_regression' when support_deg <= 12 then 'constant_bias' else 'raw' end as tier from ti"),
+        ],
+        f"select argo_lat, argo_lon, argo_t, support_deg, n_train, tier, {r(_CHOSEN)} as pred_tiered from tj",
+    ),
+)
+def _(spark, sf):
+    """The fitted line where data lie close, the constant where they lie within some degrees, else the value as observed."""
+    train = split.split_by_date(fx.pairs(spark, sf), WINDOWS).where(F.col("partition") == "train")
+    out = tiered_correction(_pair_predictions(spark, sf), support_tree(train, _ENOUGH), _TIERS, ("raw", "pred_raw"))
+    return out.select("argo_lat", "argo_lon", secs("argo_datetime").alias("argo_t"), "support_deg", "n_train", "tier", rnd("pred_tiered").alias("pred_tiered"))
+
+
 _REGIONS = [
     extra_qc.POLAR_NORTH,
     extra_qc.Region("inland_sea", 30.0, 46.0, -6.0, 36.0, *extra_qc.REGION_BOUNDS["mediterranean"]),
