@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinelink.operators.mergeable import merged_counts, part_counts, read_counts
 from brinelink.session import cut_lineage
 from brinelink.sources.writers import path_exists
 
@@ -77,11 +79,17 @@ def finished_chunks(spark: SparkSession, path: str, start: date, end: date, mont
     return wanted.join(reached, "chunk_start").where("reached >= chunk_end").select("chunk_start", "chunk_end")
 
 
-def backfill(rows: DataFrame, path: str, start: date, end: date, months: int = 3, **columns) -> None:
+def counts_table(path: str) -> str:
+    """Table of the counts of each chunk beside the data: chunk_start and ``mergeable.part_counts`` of its rows."""
+    return f"{path.rstrip('/')}_counts"
+
+
+def backfill(rows: DataFrame, path: str, start: date, end: date, months: int = 3, counted: Sequence[str] = (), **columns) -> None:
     """Write the chunks not yet finished under ``path``; each is replaced whole, the others stay.
 
     The chunks are recorded after their rows are in place, empty ones too, so a run that ends
-    in between, or in the middle of a chunk's months, is made good by the next.
+    in between, or in the middle of a chunk's months, is made good by the next. Of the ``counted`` columns every chunk keeps
+    mergeable counts, made from these columns of the files just written, for ``chunk_totals``.
     """
     spark = rows.sparkSession
     done = finished_chunks(spark, path, start, end, months)
@@ -90,7 +98,8 @@ def backfill(rows: DataFrame, path: str, start: date, end: date, months: int = 3
     if done is not None:
         pending = pending.join(done.select("chunk_start"), "chunk_start", "left_anti")
     pending = cut_lineage(pending.withColumn("months", F.lit(months)))
-    if pending.isEmpty():
+    starts = [row.chunk_start for row in pending.select("chunk_start").collect()]  # a calendar of months
+    if not starts:
         return
     (
         todo.write.mode("overwrite")
@@ -98,4 +107,27 @@ def backfill(rows: DataFrame, path: str, start: date, end: date, months: int = 3
         .partitionBy("chunk_start")
         .parquet(path)
     )
+    if counted:
+        written = spark.read.schema(todo.schema).parquet(path).where(F.col("chunk_start").isin(starts))
+        (
+            part_counts(written, ["chunk_start"], counted)
+            .repartition("chunk_start")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("chunk_start")
+            .parquet(counts_table(path))
+        )
     pending.coalesce(1).write.mode("append").parquet(manifest(path))
+
+
+def chunk_totals(
+    spark: SparkSession, path: str, counted: Sequence[str], first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """Totals over the chunks that start between ``first`` and ``last``: n_rows and, per column, known_<c>, n_<c> (distinct, within
+    ``mergeable.RELATIVE_ERROR``) and known_pct_<c>. Only the counts of the chunks are read, never their rows."""
+    parts = spark.read.parquet(counts_table(path))
+    if first is not None:
+        parts = parts.where(F.col("chunk_start") >= F.lit(first))
+    if last is not None:
+        parts = parts.where(F.col("chunk_start") <= F.lit(last))
+    return read_counts(merged_counts(parts, [], counted), counted)

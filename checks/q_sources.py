@@ -12,6 +12,7 @@ from brinelink.functions import quality as q
 from brinelink.functions import scalars as sc
 from brinelink.operators.groups import tag_sensors
 from brinelink.operators.profiles import near_surface_levels, usable_sat, with_true_time
+from brinelink.operators.mergeable import RELATIVE_ERROR
 from brinelink.operators.summaries import distinct_and_rate
 from brinelink.session import shared_folder
 from brinelink.sources import backfill as bf
@@ -181,6 +182,33 @@ def _(spark, sf):
     return bf.chunk_report(spark.read.parquet(path)).select(text("chunk_start"), "n_rows", "n_floats")
 
 
+@check(
+    "S10_totals_over_chunks",
+    """with year as (select user_id, ts + to_months(cast(event_id % 12 as int)) as ts from events)
+select 'half' as period, cast(2*count(*) as bigint) as n_rows, cast(2*count(user_id) as bigint) as n_known, true as distinct_as_stated from year where ts >= timestamp '2024-01-01' and ts < timestamp '2024-07-01'
+union all select 'all', cast(2*count(*) as bigint), cast(2*count(user_id) as bigint), true from year where ts >= timestamp '2024-01-01' and ts < timestamp '2025-01-01'""",
+)
+def _(spark, sf):
+    """Events spread over a year and loaded in two runs, the first ending within a chunk. The totals come from the counts kept by chunk; a
+    distinct count of the rows tells whether they hold."""
+    path, column = _temp("counted", spark), "PLATFORM_NUMBER"
+    month = (F.col("event_id") % 12).cast("int")
+    raw = fx.table(spark, sf, "events").select(
+        F.col("user_id").alias(column), (F.col("ts") + F.make_ym_interval(F.lit(0), month)).alias("TIME"),
+        F.explode(F.array(F.lit(1.0), F.lit(9.0))).alias("PRES"),
+    )
+    for end in (date(2024, 5, 10), date(2024, 12, 31)):
+        bf.backfill(raw, path, date(2024, 1, 1), end, months=3, counted=[column])
+    whole = spark.read.parquet(path)
+    out = []
+    for period, last, rows in (("half", date(2024, 6, 30), whole.where("month(chunk_start) < 7")), ("all", None, whole)):
+        exact = rows.agg(F.count_distinct(column).alias("exact"))
+        kept = bf.chunk_totals(spark, path, [column], last=last).join(exact, F.lit(True))
+        close = F.abs(F.col(f"n_{column}") - F.col("exact")) <= F.col("exact") * RELATIVE_ERROR
+        out.append(kept.select(F.lit(period).alias("period"), "n_rows", F.col(f"known_{column}").alias("n_known"), close.alias("distinct_as_stated")))
+    return out[0].unionByName(out[1])
+
+
 @check("F1_missing_salinity", query(["sat"], [], f"select {SAT_COLS} from sat where sss is not null"))
 def _(spark, sf):
     return _sat_out(fx.sat_obs(spark, sf).where(F.col("sss").isNotNull()))
