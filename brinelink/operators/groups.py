@@ -30,6 +30,16 @@ def label_membership(rows: DataFrame, train: DataFrame) -> DataFrame:
     return joined.withColumn("float_group", label).drop("_k", "_in")
 
 
+def group_counts(rows: DataFrame) -> DataFrame:
+    """Rows per ``float_group``."""
+    return rows.groupBy("float_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def files_to_fetch(lookup: DataFrame) -> DataFrame:
+    """The profile files that a lookup or index names, each once."""
+    return lookup.select("file").where(F.col("file").isNotNull()).distinct()
+
+
 def known_with_file(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     """Rows of known instrument with the profile file of the lookup; rows without one are dropped."""
     files = lookup.select(*PROFILE_ID, "file").where(F.col("file").isNotNull())

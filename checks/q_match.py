@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from brinelink.operators import enrich, match, profiles, summaries
 from brinelink.operators.groups import (
     attach_delayed,
     delayed_near_surface,
+    files_to_fetch,
     known_with_file,
     label_membership,
 )
@@ -18,7 +20,9 @@ from brinelink.operators.split import owner_partition, split_by_date
 from brinelink.plans import index_match
 from brinelink.plans.coverage import coverage_scan
 from brinelink.plans.quality_report import quality_report
+from brinelink.session import cut_lineage, shared_folder
 from brinelink.sources.cycles import list_cycles
+from brinelink.sources.writers import write_table
 from checks import fixtures as fx
 from checks import sqlparts as sp
 from checks.registry import WINDOWS, check, describe_out, matchup_out, rnd, rounded, secs, text
@@ -33,7 +37,7 @@ def _matchups(spark, sf, sensor="smap", window=4) -> DataFrame:
 
 def _inputs(spark, sf, sensor):
     argo, sat = fx.argo_obs(spark, sf), fx.sat_obs(spark, sf, sensor)
-    cycles = list_cycles(argo, sat).persist()
+    cycles = cut_lineage(list_cycles(argo, sat))
     return profiles.argo_profiles(argo), profiles.usable_sat(sat, sensor), cycles
 
 
@@ -146,6 +150,23 @@ def _(spark, sf):
     return out.select("sensor", "argo_lat", "argo_lon", secs("argo_datetime").alias("argo_t"), "sat_sss", "wmo")
 
 
+@check(
+    "J5_attach_in_place",
+    query(["pairs", "idx"], [*_LOOKUP, _ATTACHED], "select sensor, cast(count(*) as bigint) as n_rows, cast(count(wmo) as bigint) as n_known, cast(count(*) as bigint) as reported_rows, cast(count(wmo) as bigint) as reported_known from attached group by sensor"),
+)
+def _(spark, sf):
+    """Each sensor's table rewritten with its instruments; the counts reported by the writing job beside those of the table."""
+    lookup = _lookup(spark, sf)
+    out = []
+    for sensor in ("smap", "smos"):
+        path = f"{shared_folder(spark)}/attached-{uuid.uuid4().hex}"
+        write_table(fx.pairs(spark, sf, sensor), path)
+        told = index_match.attach_in_place(spark, path, lookup)
+        counted = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.count("wmo").alias("n_known"))
+        out.append(counted.select(F.lit(sensor).alias("sensor"), "*", F.lit(told["n_rows"]).cast("long").alias("reported_rows"), F.lit(told["n_known"]).cast("long").alias("reported_known")))
+    return out[0].unionByName(out[1])
+
+
 _SPLIT = ("sp", f"select *, {part()} as part from pairs")
 _GROUP = (
     "grp",
@@ -368,13 +389,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows, sat, cycles = _inputs(spark, sf, "smap")
-    every = match.match_windowed(rows, sat, cycles, max_abs_diff=3.0).persist()
+    every = cut_lineage(match.match_windowed(rows, sat, cycles, max_abs_diff=3.0))
     return summaries.match_totals(summaries.match_log(cycles, rows, sat, every), match.first_match_per_profile(every))
 
 
 @check("A14_describe_distance", query(["sat", "argo"], sp.matchup_parts("smap"), f"select 'dist_km' as what, {sp.describe('d')} from matchups union all select 'time_delta_s' as what, {sp.describe('cast(abs(t - st) as double)')} from matchups"))
 def _(spark, sf):
-    m = _matchups(spark, sf).select("dist_km", "time_delta_s").persist()
+    m = cut_lineage(_matchups(spark, sf).select("dist_km", "time_delta_s"))
     parts = [summaries.describe(m, c).withColumn("what", F.lit(c)) for c in ("dist_km", "time_delta_s")]
     return describe_out(reduce(DataFrame.unionByName, parts))
 
@@ -388,7 +409,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(describe_out(index_match.lookup_report(_lookup(spark, sf).persist())), "pct")
+    return rounded(describe_out(index_match.lookup_report(cut_lineage(_lookup(spark, sf)))), "pct")
 
 
 @check("W2_distinct_profiles", query(["pairs"], [], "select distinct argo_lat, argo_lon, argo_t from pairs"))
@@ -419,7 +440,7 @@ def _(spark, sf):
 
 @check("W5_distinct_files", query(["idx"], [], "select distinct file from idx"))
 def _(spark, sf):
-    return fx.profile_index(spark, sf).select("file").distinct()
+    return files_to_fetch(fx.profile_index(spark, sf))
 
 
 @check("W6_cycle_order", query(["sat"], [], "select cyc as slot, row_number() over (order by cyc) as cycle_idx from (select distinct cyc from sat) z"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def _(spark, sf):
 
 @check("A12_group_composition", query(["pairs"], [_SPLIT, _GROUP], "select float_group, cast(count(*) as bigint) as n from grp where sensor = 'smap' group by float_group"))
 def _(spark, sf):
-    return labelled(spark, sf).groupBy("float_group").agg(F.count(F.lit(1)).alias("n"))
+    return groups.group_counts(labelled(spark, sf))
 
 
 _AGEING = (
@@ -125,7 +126,7 @@ _AGE_PARTS = [*_LOOKUP, _SPLIT, _GROUP, _KNOWN, DELAYED, _AGEING]
     query(["pairs", "idx", "del"], _AGE_PARTS, f"select sensor, float_group, cast(count(*) as bigint) as n, {r('avg(a)')} as mean, {r('median(a)')} as p50, {r('stddev_samp(a)')} as std from ag group by sensor, float_group"),
 )
 def _(spark, sf):
-    return rounded(ageing.discrepancy_by_group(_ageing(spark, sf).persist()), "mean", "p50", "std")
+    return rounded(ageing.discrepancy_by_group(cut_lineage(_ageing(spark, sf))), "mean", "p50", "std")
 
 
 @check(
@@ -488,17 +489,17 @@ def _(spark, sf):
     return predictions.select(*compare.PREDICTION_COLUMNS)
 
 
-def _forward_sql() -> list[tuple[str, str]]:
-    """The untrained network written out as sums over the scaled features."""
+def _forward_sql(source: str, keep: str) -> list[tuple[str, str]]:
+    """The untrained network written out as sums over the scaled features of ``source``."""
     net = network.new_network(len(features.FEATURE_COLUMNS))
-    parts, source, names = [], "scaled_all", list(features.FEATURE_COLUMNS)
+    parts, names = [], list(features.FEATURE_COLUMNS)
     for depth, (w, b) in enumerate(net.layers):
         last = depth == len(net.layers) - 1
         sums = []
         for k in range(w.shape[1]):
             total = " + ".join([f"{n}*({float(w[i, k])!r}::double)" for i, n in enumerate(names)] + [f"({float(b[k])!r}::double)"])
             sums.append(f"{total} as y" if last else f"greatest(0e0, {total}) as h{depth}_{k}")
-        parts.append((f"layer{depth}", f"select id_lat, id_lon, id_sss, {', '.join(sums)} from {source}"))
+        parts.append((f"layer{depth}", f"select {keep}, {', '.join(sums)} from {source}"))
         source, names = f"layer{depth}", [f"h{depth}_{k}" for k in range(w.shape[1])]
     return parts
 
@@ -512,7 +513,7 @@ _SCALED_ALL = (
 
 @check(
     "M5_scored_table",
-    query(["learn"], [_FEAT, _STATS, _SCALED_ALL, *_forward_sql()], f"select id_lat as sat_lat, id_lon as sat_lon, id_sss as sat_sss, {r('id_sss + y')} as pred_ffann from layer2"),
+    query(["learn"], [_FEAT, _STATS, _SCALED_ALL, *_forward_sql("scaled_all", "id_lat, id_lon, id_sss")], f"select id_lat as sat_lat, id_lon as sat_lon, id_sss as sat_sss, {r('id_sss + y')} as pred_ffann from layer2"),
 )
 def _(spark, sf):
     rows, fitted = _fit(spark, sf)
@@ -523,6 +524,35 @@ def _(spark, sf):
 _CMP = ("cmp", " union all ".join(f"select '{m}' as method, {p} as pred, argo_salinity, sat_lat, sat_oceanBasin from fitted" for m, p in METHODS_SQL.items()))
 
 
+def _scaled_test(fit, keep):
+    """Test rows of ``fitted_on`` with their features brought to the scale of its train rows."""
+    stats = ", ".join(f"avg({n}) as m_{n}, case when stddev_pop({n}) = 0 then 1 else stddev_pop({n}) end as s_{n}" for n in _FEATURES)
+    return [
+        ("dst", f"select {stats} from {fit}_train"),
+        ("dsc", f"select {keep}, sat_sss as id_sss, " + ", ".join(f"({n} - m_{n})/s_{n} as {n}" for n in _FEATURES) + f" from {fit} cross join dst"),
+    ]
+
+
+def _with_given_network(fitted):
+    """Fitted corrections and, in place of the trained network, one whose weights are known: the one training starts from."""
+    return replace(fitted, network=network.new_network(len(features.FEATURE_COLUMNS)))
+
+
+_ALL_FOUR = [
+    *_FIT_PARTS,
+    *_scaled_test("fitted", "argo_salinity, pred_constant, pred_linreg"),
+    *_forward_sql("dsc", "argo_salinity, id_sss, pred_constant, pred_linreg"),
+    ("four", " union all ".join(f"select '{m}' as method, {p} as pred, argo_salinity from layer2" for m, p in (("raw", "id_sss"), ("constant_bias", "pred_constant"), ("linear_regression", "pred_linreg"), ("ffann", "id_sss + y")))),
+]
+
+
+@check("M6_compare_four_methods", query(["learn"], _ALL_FOUR, f"select method, {sp.metrics('pred', 'argo_salinity')} from four group by method"))
+def _(spark, sf):
+    rows = split.split_by_date(fx.learnable(spark, sf))
+    fitted = _with_given_network(compare.fit_corrections(rows, with_network=False))
+    return metrics_out(train_and_compare.comparison(compare.apply_corrections(rows.where(F.col("partition") == "test"), fitted)))
+
+
 @check("M6_compare_methods", query(["learn"], [*_FIT_PARTS, _CMP], f"select method, {sp.metrics('pred', 'argo_salinity')} from cmp group by method"))
 def _(spark, sf):
     return metrics_out(train_and_compare.comparison(_predictions(spark, sf)))
@@ -555,6 +585,23 @@ def _(spark, sf):
     return by_feature.select(F.col("f.columns").alias("feature"), rnd("f.means").alias("mean"), rnd("f.stds").alias("std"), "n_weights")
 
 
+_LEAK = [
+    _SPLIT,
+    _GROUP,
+    *_PFIT,
+    *_scaled_test("pfit", "argo_salinity, float_group"),
+    *_forward_sql("dsc", "argo_salinity, float_group, id_sss"),
+    ("lk", " union all ".join(f"select '{m}' as method, g.gname as \"group\", {p} as pred, argo_salinity from layer2 cross join lateral (select unnest(['overall', float_group]) as gname) g" for m, p in (("raw", "id_sss"), ("ffann", "id_sss + y")))),
+]
+
+
+@check("D2_leakage_of_given_network", query(["pairs"], _LEAK, f"select method, \"group\", {sp.metrics('pred', 'argo_salinity')} from lk group by method, \"group\""))
+def _(spark, sf):
+    pairs = fx.pairs(spark, sf)
+    fitted = _with_given_network(compare.fit_corrections(split.split_by_date(pairs, WINDOWS), with_network=False))
+    return metrics_out(leakage.leakage_diagnostic(pairs, WINDOWS, fitted=fitted))
+
+
 @check("D2_leakage_diagnostic")
 def _(spark, sf):
     return leakage.leakage_diagnostic(fx.pairs(spark, sf), WINDOWS)
@@ -602,6 +649,19 @@ def _(spark, sf):
     return audits.duplicate_rows(fx.pairs_all(spark, sf), ["argo_lat", "argo_lon", "argo_datetime"])
 
 
+@check(
+    "E3_exact_duplicates",
+    query(
+        ["pairs"],
+        [("k", "select argo_oceanBasin, argo_salinity, sensor, sat_oceanBasin, count(*) as c from pairs group by all")],
+        "select cast(sum(c) as bigint) as n_rows, cast(sum(c) - count(*) as bigint) as n_surplus_exact, cast(count(*) - (select count(*) from (select distinct argo_oceanBasin, argo_salinity from k)) as bigint) as n_surplus_differing from k",
+    ),
+)
+def _(spark, sf):
+    coarse = fx.pairs_all(spark, sf).select("argo_oceanBasin", "argo_salinity", "sensor", "sat_oceanBasin")
+    return audits.exact_duplicates(coarse, ["argo_oceanBasin", "argo_salinity"])
+
+
 @check(
     "E4_matches_per_cycle",
     query(

@@ -11,14 +11,14 @@ from brinelink.functions import geo
 from brinelink.functions import quality as q
 from brinelink.functions import scalars as sc
 from brinelink.operators.groups import tag_sensors
-from brinelink.operators.profiles import near_surface_levels, usable_sat, with_true_time
 from brinelink.operators.mergeable import RELATIVE_ERROR
+from brinelink.operators.profiles import near_surface_levels, usable_sat, with_true_time
 from brinelink.operators.summaries import distinct_and_rate
 from brinelink.session import shared_folder
 from brinelink.sources import backfill as bf
 from brinelink.sources import readers as rd
 from brinelink.sources import writers as wr
-from brinelink.sources.cycles import cycles_from_folder, cycles_from_paths, list_cycles
+from brinelink.sources.cycles import cycles_from_folder, cycles_from_partitions, cycles_from_paths, list_cycles
 from checks import fixtures as fx
 from checks.registry import check, metrics_out, rnd, secs, text
 from checks.sqlparts import CYCLES, LEVELS, SATQ, cdate, chour, metrics, query, r
@@ -53,6 +53,32 @@ def _temp(name: str, spark) -> str:
 _serial = iter(range(10**9))
 
 
+@check(
+    "S1_cycles_from_file_names",
+    query(["sat"], [], f"select {cdate()} as cycle_date, {chour()} as cycle_hour, cyc as slot, row_number() over (order by cyc) as cycle_idx from (select distinct cyc from sat) z where {cdate()} <= '2024-01-20'"),
+)
+def _(spark, sf):
+    """The archive as a tree of files; none of them is opened."""
+    path = _temp("tree", spark)
+    wr.write_table(fx.sat_all(spark, sf).repartition("cycle_date"), path, ["cycle_date", "cycle_hour"])
+    cycles = cycles_from_partitions(spark, path, end=date(2024, 1, 20))
+    return cycles.select(text("cycle_date"), "cycle_hour", "slot", "cycle_idx")
+
+
+@check(
+    "S4_damaged_file",
+    query(["sat"], [], f"select {SAT_COLS}, preqc_smos as preqc from sat where {cdate()} between '2024-01-05' and '2024-01-09' and not ({cdate()} = '2024-01-07' and {chour()} = '06')"),
+)
+def _(spark, sf):
+    """A cycle whose file is no Parquet gives no rows, all others are read."""
+    path = _temp("damaged", spark)
+    sat = fx.sat_obs(spark, sf, "smos").withColumn("sensor", F.lit("smos"))
+    wr.write_table(sat.repartition("cycle_date"), path, ["sensor", "cycle_date", "cycle_hour"])
+    sat.limit(1).select(F.lit("cut off").alias("value")).write.mode("overwrite").text(f"{path}/sensor=smos/cycle_date=2024-01-07/cycle_hour=06")
+    back = rd.read_sat_obs(spark, path, "smos", date(2024, 1, 5), date(2024, 1, 9), skip_bad_files=True)
+    return back.select("lat", "lon", secs("datetime").alias("t"), "oceanBasin", "sss", "preqc")
+
+
 @check(
     "S2_sat_scan",
     query(["sat"], [], f"select {SAT_COLS}, preqc_smap as preqc from sat where {cdate()} between '2024-01-05' and '2024-01-20'"),
