@@ -80,3 +80,47 @@ def test_whole_table(spark, sf):
         for d, t in texts.items():
             if (d, r.item_id) in got:
                 assert len(mine & windows(t)) >= 0.5 * len(mine)
+
+
+def wide_kinds(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, kind, starts, ends, _ = canonical(data, np.array([0, len(data)]), wide=True)
+    return [(int(k), data[a:b].tobytes().decode()) for k, a, b in zip(kind, starts, ends)]
+
+
+def test_wide_reading():
+    got = wide_kinds("Tom has 3 pears. How many does Mary Ann give to Tom, Bob and Иван Петров?\nИван left")
+    assert [t for k, t in got if k == 4] == ["Tom", "Mary Ann", "Tom", "Bob", "Иван Петров", "Иван"]
+    assert [k for k, t in wide_kinds("Иван left. Then he saw Иван") if t == "Иван"] == [4, 4]
+    assert wide_kinds("") == [] and wide_kinds("Tom. Tom")[0][0] == 0
+
+
+STORIES = [
+    "{a} has {n} {thing}. {a} buys {m} more at the market near the {place}. How many {thing} does {a} have now?",
+    "Every morning {a} carries {n} {thing} to the {place}. On the way back {b} takes {m} of them. How many {thing} does {a} keep for {b}?",
+    "{a} and {b} share {n} {thing} in the {place}. If {a} eats {m} of the {thing}, how many are left for {b} and for {a}?",
+    "{a} купила {n} яблок в магазине возле дома. Потом {a} отдала соседке {m} яблок. Сколько яблок теперь есть у {a} для пирога в {place}?",
+]
+NAMES = ["Tom", "Sara", "Mary Ann", "José", "Zoë", "Иван", "Мария", "Анна Мария", "Ελένη", "Łukasz"]
+
+
+def test_recall_of_items_asked_again(spark, docs_of):
+    """200 questions with other names (one or two words, four scripts) and numbers, and as many of the same shape about other things."""
+    rng = np.random.default_rng(5)
+    things = [f"{x}{y}s" for x in ("ap", "pe", "lem", "plu", "mel") for y in ("ple", "ar", "on", "m", "berry", "nut", "cone", "seed", "leaf", "root")]
+    places = [f"{x}{y}" for x in ("sta", "har", "gar", "for", "bri") for y in ("tion", "bour", "den", "est", "dge", "mill", "farm", "hall", "gate", "yard")]
+    items, again, other = [], [], []
+    for i in range(200):
+        story, thing, place = STORIES[i // 50], things[i % 50], places[i % 50]
+
+        def told(thing, place):
+            a, b = rng.choice(NAMES, 2, replace=False)
+            n, m = rng.choice(np.arange(2, 900), 2, replace=False)
+            return story.format(a=a, b=b, n=n, m=m, thing=thing, place=place)
+
+        items.append((i, told(thing, place)))
+        again.append((i, "Some words stand here before it. " + told(thing, place) + " And some come after."))
+        other.append((1000 + i, " ".join(f"{w}{i}" if len(w) > 3 and w.islower() else w for w in told(thing, place).split())))
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(again + other), bench(spark, items)).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 180
+    assert not [d for d, _ in got if d >= 1000]
