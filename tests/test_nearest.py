@@ -107,3 +107,39 @@ def test_nearest_at_any_distance(spark, hot_cell):
     for a in ask:
         d = min(km(a[0], a[1], *p) for p in pos)
         assert abs(km(a[0], a[1], *found[a]) - d) < 1e-6
+
+
+def test_what_a_join_meets_is_neither_kept_nor_sorted(spark, monkeypatch):
+    """Points are kept once per position, and the smallest distance is combined in passing."""
+    import brinelink.operators.nearest as nn
+
+    kept = []
+
+    def record(df, cut=nn.cut_lineage):
+        out = cut(df)
+        kept.append((df._jdf.queryExecution().executedPlan().toString(), out))
+        return out
+
+    monkeypatch.setattr(nn, "cut_lineage", record)
+    queries = [(i, 0, 10.0 + i * 1e-3, 20.0) for i in range(40)]
+    points = [(0, 10.2, 20.0 + (i % 3) * 0.01, i) for i in range(600)]
+    assert spark_nearest(spark, queries, points, 50.0) == brute(queries, points, 50.0)
+    located = [df for _, df in kept if "point" in df.columns]
+    assert [df.count() for df in located] == [3]
+    (least,) = [plan for plan, df in kept if df.columns == ["qid", "mm"]]
+    assert "SortAggregate" not in least
+
+
+def test_crowded_cells_are_walked_without_windows(spark, monkeypatch):
+    import brinelink.operators.nearest as nn
+
+    plans = []
+
+    def record(df, cut=nn.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(nn, "cut_lineage", record)
+    queries, points = [(i, 0, 10.0, 20.0 + i * 1e-3) for i in range(20)], [(0, 10.0 + i * 1e-3, 20.0, i) for i in range(30)]
+    assert spark_nearest(spark, queries, points, 50.0, hot_cell=4) == brute(queries, points, 50.0)
+    assert not any("Window" in p for p in plans)
