@@ -163,3 +163,24 @@ def test_cycle_listing_is_inclusive_and_ordered(spark):
     a, s = tables(spark, [argo_row(0.0, 0.0, 0.0, 35.0, k) for k in (0, 5, 9)], [sat_row(0.0, 0.0, 0.0, 35.0, 5)])
     rows = list_cycles(a, s, start=date(2024, 1, 1), end=date(2024, 1, 2)).orderBy("cycle_idx").collect()
     assert [(r.cycle_date, r.cycle_hour, r.cycle_idx) for r in rows] == [(*cycle(0), 1), (*cycle(5), 2)]
+
+
+def test_copies_of_a_profile_are_searched_once(spark, monkeypatch):
+    """Limits on the pair are searched per profile and searched cycle; copies then choose among the hits."""
+    from brinelink.operators import match
+
+    asked = []
+
+    def record(queries, *args, search=match.nearest_valid, **kw):
+        asked.append(queries.count())
+        return search(queries, *args, **kw)
+
+    monkeypatch.setattr(match, "nearest_valid", record)
+    files = range(5, 14)
+    sat = [sat_row(0.0, 0.3, 54.0, 35.0, 9), sat_row(0.0, 0.1, 53.0, 35.0, 8)]
+    argo, sat = tables(spark, [argo_row(0.0, 0.0, 54.0, 35.0, k) for k in files], sat)
+    profiles, cycles = argo_profiles(argo), list_cycles(argo, sat)
+    got = match.match_windowed(profiles.unionByName(profiles), sat, cycles, mode="best_valid", window=4).collect()
+    assert asked == [2]
+    near = {cycle(k): 0.1 if abs(k - 8) <= 4 else 0.3 for k in files}
+    assert sorted(((r.cycle_date, r.cycle_hour), r.sat_lon) for r in got) == sorted([*near.items()] * 2)
