@@ -255,7 +255,7 @@ def _sorted(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for crowded anchors: every string by two hashes, counted over all different stretches."""
+    """The same for crowded anchors: every string by two hashes, met with its like by one sort over all different stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,9 +270,24 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
             arrays = [one.view(np.int64), two.view(np.int64), content, lo]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["one", "two", "content", "lo"])
 
-    strings = pieces.select("content", "number", "piece").mapInArrow(run, "one long, two long, content long, lo long").distinct()
-    often = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return strings.join(often, ["one", "two"]).select("content", "lo", F.col("lo").alias("hi"))
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last, said = ["one", "two", "content", "lo"], np.zeros((4, 0), np.int64), True
+        for b in batches:
+            rows = np.stack([b.column(c).to_numpy() for c in names])
+            rows = np.concatenate([last, rows], axis=1)
+            new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))
+            rows, k = rows[:, new], last.shape[1]  # without copies; the first row may be of the batch before
+            like = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+            met = np.append(False, like) | np.append(like, False)
+            if k and said:
+                met[0] = False  # given with the batch before
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i, met]) for i in (2, 3, 3)], ["content", "lo", "hi"])
+            said = bool(met[-1]) or (said and k > 0 and rows.shape[1] == 1)
+            last = rows[:, -1:].copy()
+
+    strings = pieces.select("content", "number", "piece").mapInArrow(run, "one long, two long, content long, lo long")
+    dealt = strings.repartition(partitions(pieces.sparkSession), "one", "two")
+    return dealt.sortWithinPartitions("one", "two", "content", "lo").mapInArrow(repeated, "content long, lo long, hi long")
 
 
 def _cut(joined: DataFrame) -> DataFrame:

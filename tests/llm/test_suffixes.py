@@ -86,3 +86,29 @@ def test_empty_table(docs_of):
 def test_whole_table(spark, sf):
     docs = table(spark, sf, "documents")
     assert got(remove_repeats(docs)) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 10_000])
+def test_strings_of_crowded_anchors_meet_without_a_join(spark, batch):
+    from brinelink.llm import suffixes
+
+    rnd = random.Random(8)
+    text = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    common = text(24)
+    held = [(i, 1 + 8, text(i % 4) + common + text(8 - i % 4 - 4 + 4)) for i in range(30)]
+    held = [(c, len(p) - 20 + 1, p) for c, _, p in held]
+    rows = [(7, c, 30, n, bytearray(p)) for c, n, p in [*held, held[3]]]  # one from a copy of its text
+    pieces = spark.createDataFrame(rows, "anchor long, content long, kinds long, number long, piece binary")
+    places = collections.defaultdict(list)
+    for c, n, p in held:
+        for lo in range(n):
+            places[p[lo : lo + 20]].append((c, lo, lo))
+    want = sorted(x for v in places.values() if len(v) > 1 for x in v)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = suffixes._counted(pieces, 20)
+        assert sorted(tuple(r) for r in found.select("content", "lo", "hi").collect()) == want and len(want) >= 90
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
