@@ -159,6 +159,8 @@ def argo_cycle_summary(argo: DataFrame, max_depth: float = q.MAX_DEPTH) -> DataF
     )
     totals = totals.withColumn("pct_near", F.col("n_near") * 100.0 / F.col("n_obs"))
     means = profile_means(timed.where(shallow & F.col("salinity").isNotNull()), PROFILE_KEY[:3])
+    # kept: the statistics and each pass of the median read the means, not the levels again
+    means = cut_lineage(means.select(*CYCLE, "salinity", "depth"))
     stats = means.groupBy(*CYCLE).agg(
         F.count(F.lit(1)).alias("n_profiles"),
         F.min("salinity").alias("sal_min"),

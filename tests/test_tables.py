@@ -294,3 +294,16 @@ def test_stream_is_scored_like_a_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, correct_stream(sat, "smap", net, scaler).collect())) and len(got) == 2
     assert all(math.isfinite(r[-1]) for r in got)
+
+
+def test_cycle_summary_reads_the_levels_for_the_means_once(spark, tmp_path):
+    from brinelink.operators.summaries import argo_cycle_summary
+
+    row = "0.5D as lat, 1.5D as lon, 1 as oceanBasin, id as original_datetime, timestamp_ntz'2024-01-01 00:00:00' as datetime"
+    cycle = "2.0D as depth, 35.0D + id as salinity, date'2024-01-01' as cycle_date, '00' as cycle_hour"
+    spark.range(4).selectExpr(*[c for c in f"{row}, {cycle}".split(", ")]).write.parquet(f"{tmp_path}/levels")
+    out = argo_cycle_summary(spark.read.parquet(f"{tmp_path}/levels"))
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("original_datetime" in leaves.apply(i).toString() for i in range(leaves.size())) <= 1
+    got = out.collect()
+    assert [(r.n_obs, r.n_profiles, r.sal_median, r.sal_max) for r in got] == [(4, 4, 36.5, 38.0)]
