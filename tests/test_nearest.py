@@ -143,3 +143,30 @@ def test_crowded_cells_are_walked_without_windows(spark, monkeypatch):
     queries, points = [(i, 0, 10.0, 20.0 + i * 1e-3) for i in range(20)], [(0, 10.0 + i * 1e-3, 20.0, i) for i in range(30)]
     assert spark_nearest(spark, queries, points, 50.0, hot_cell=4) == brute(queries, points, 50.0)
     assert not any("Window" in p for p in plans)
+
+
+def test_the_first_join_moves_no_place_in_double_precision(spark):
+    """What is exchanged for the bound: keys, the query's number and limit, and two unit vectors of floats."""
+    import brinelink.operators.nearest as nn
+
+    queries = frame(spark, [(i, 0, 10.0 + i * 1e-3, 20.0) for i in range(40)], "qid long, part long, lat double, lon double").withColumn("radius_km", F.lit(50.0))
+    points = frame(spark, [(0, 10.2, 20.0 + i * 0.01, i) for i in range(60)], "part long, lat double, lon double, tag long")
+    h = F.lit(1.0)
+    located = nn._locate_points(points, h, ["tag"])
+    assert located.columns == ["part", "point", "cell"]  # the place in the grid follows from the point
+    met = nn._chords(nn._cells_of_queries(queries, h), located)
+    assert met.columns == ["qid", "chord"]
+    measured = {r.qid: r.mm for r in nn._measure(nn._cells_of_queries(queries, h), located).groupBy("qid").agg(F.min("hit.mm").alias("mm")).collect()}
+    bound = {r.qid: r.c for r in met.groupBy("qid").agg(F.min("chord").alias("c")).collect()}
+    assert bound.keys() == measured.keys()
+    for q, mm in measured.items():
+        assert abs(2 * R * np.arcsin(np.sqrt(bound[q]) / 2) * 1e6 - mm) <= 2 * R * 1e6 * nn._SLACK_CHORD
+
+
+def test_places_closer_than_single_precision(spark):
+    """Points that single precision cannot tell apart, some at one distance and some just beyond the radius."""
+    rng = np.random.default_rng(11)
+    queries = [(i, 0, 40.0 + float(a), 140.0 + float(b)) for i, (a, b) in enumerate(rng.normal(0, 1e-6, (30, 2)))]
+    points = [(0, 40.0 + float(a), 140.0 + float(b), i) for i, (a, b) in enumerate(rng.normal(0, 2e-6, (120, 2)))]
+    for radius, hot_cell in ((2e-4, 1000), (50.0, 8)):
+        assert spark_nearest(spark, queries, points, radius, hot_cell=hot_cell) == brute(queries, points, radius)
