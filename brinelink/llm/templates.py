@@ -15,7 +15,8 @@ are one. Windows of a reading meet only windows of the same reading, so neither
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,20 @@ def _among(x: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return ranked[np.minimum(np.searchsorted(ranked, x), len(ranked) - 1)] == x if len(ranked) else np.zeros(len(x), bool)
 
 
-def canonical(data: np.ndarray, at: np.ndarray, wide: bool = False):
-    """Tokens of texts: literal hash, kind (0 literal), start, end, and the first token of each text; ``wide`` for the wide reading."""
+class Tokens(NamedTuple):
+    """Tokens of texts as both readings start from them: without names."""
+
+    hashed: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    literal: np.ndarray
+    kind: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    raw_end: np.ndarray
+    first: np.ndarray
+    opens: np.ndarray
+
+
+def tokens_of(data: np.ndarray, at: np.ndarray) -> Tokens:
     starts, ends, first = ta.words(data, at)
     raw_end = ends
     # punctuation around a word does not count; a word of nothing else is none
@@ -107,10 +120,11 @@ def canonical(data: np.ndarray, at: np.ndarray, wide: bool = False):
     real = starts < ends
     first = np.concatenate([[0], np.cumsum(real)])[first]
     starts, ends, raw_end = starts[real], ends[real], raw_end[real]
+    hashed = ta.hasher(data)
     if not len(starts):
-        return np.zeros(0, _U), np.zeros(0, np.int8), starts, ends, first
+        return Tokens(hashed, np.zeros(0, _U), np.zeros(0, np.int8), starts, ends, raw_end, first, np.zeros(0, bool))
 
-    literal = ta.hashes(data, starts, ends)
+    literal = hashed(starts, ends)
     size = ends - starts
     count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags[data])])[np.stack([starts, ends], 1)], axis=1)[:, 0]
     digits, numeric = count(_DIGIT), count(_IN_NUMBER)
@@ -124,22 +138,33 @@ def canonical(data: np.ndarray, at: np.ndarray, wide: bool = False):
         where = np.where(_IN_NUMBER[data], np.arange(len(data)), -1)
         last = np.maximum.accumulate(where)[ends[some] - 1]
         letters = (last >= starts[some]) & (last + 1 < ends[some]) & (numeric[some] == last + 1 - starts[some])
-        tail = ta.hashes(data, np.minimum(last + 1, ends[some]), ends[some])
+        tail = hashed(np.minimum(last + 1, ends[some]), ends[some])
         kind[some[letters & _among(tail, _UNIT_HASHES)]] = _QTY
     begins = np.zeros(len(starts), bool)
     begins[first[:-1][first[:-1] < len(starts)]] = True
     after_number = np.concatenate([[False], kind[:-1] == _NUM]) & ~begins
     kind[(kind == 0) & after_number & _among(literal, _UNIT_HASHES)] = _UNIT
-    # a name has a capital and goes on in small letters, inside a sentence
-    head, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
-    third = data[np.minimum(starts + 2, len(data) - 1)]
-    latin = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-    capital = np.where(latin, _LOWER[third] & (size > 2), _UPPER[head] & _LOWER[second] & (size > 1))
     ended = np.concatenate([[True], _ENDS[data[raw_end[:-1] - 1]]])
     line = np.concatenate([[0], np.cumsum(data == 10)])
     new_line = np.concatenate([[True], line[starts[1:]] != line[starts[:-1]]])
-    opens = ended | begins | new_line
+    return Tokens(hashed, literal, kind, starts, ends, raw_end, first, ended | begins | new_line)
+
+
+def canonical(data: np.ndarray, at: np.ndarray, wide: bool = False, tokens: Tokens | None = None):
+    """Tokens of texts: literal hash, kind (0 literal), start, end, and the first token of each text; ``wide`` for the wide reading.
+
+    ``tokens`` are what ``tokens_of`` gives for the texts, if it was asked before.
+    """
+    hashed, literal, kind, starts, ends, raw_end, first, opens = tokens or tokens_of(data, at)
+    if not len(starts):
+        return literal, kind, starts, ends, first
+    kind, size = kind.copy(), ends - starts
     if not wide:
+        # a name has a capital and goes on in small letters, inside a sentence
+        head, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
+        third = data[np.minimum(starts + 2, len(data) - 1)]
+        latin = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        capital = np.where(latin, _LOWER[third] & (size > 2), _UPPER[head] & _LOWER[second] & (size > 1))
         kind[(kind == 0) & capital & ~opens] = _NAME
         return literal, kind, starts, ends, first
 
@@ -156,15 +181,15 @@ def canonical(data: np.ndarray, at: np.ndarray, wide: bool = False):
     last = np.concatenate([lead[1:], [len(starts)]]) - 1
     starts, ends = starts[lead], ends[last]
     first = np.concatenate([[0], np.cumsum(~joined)])[first]
-    return ta.hashes(data, starts, ends), kind[lead], starts, ends, first
+    return hashed(starts, ends), kind[lead], starts, ends, first
 
 
-def template_windows(data: np.ndarray, at: np.ndarray, size: int = WINDOW, wide: bool = False):
+def template_windows(data: np.ndarray, at: np.ndarray, size: int = WINDOW, wide: bool = False, tokens: Tokens | None = None):
     """Hash and templated flag of every window, the first window of each text, and the tokens.
 
     A text of fewer tokens but one is one window.
     """
-    literal, kind, starts, ends, first = canonical(data, at, wide)
+    literal, kind, starts, ends, first = canonical(data, at, wide, tokens)
     token = np.where(kind > 0, _PLACE[kind], literal)
     template, out_first = ta.shingles(token, first, size)
     plain, _ = ta.shingles(literal, first, size)
@@ -195,9 +220,9 @@ def _windows(texts: DataFrame, key: str, wanted=None) -> DataFrame:
         for batch in batches:
             for b in ta.blocks(batch):
                 data, at = ta.utf8(b.column("text"))
-                plain = None
+                plain, tokens = None, tokens_of(data, at)
                 for reading in (0, 1):
-                    hashed, templated, first, index, width, (kind, starts, ends) = template_windows(data, at, wide=reading == 1)
+                    hashed, templated, first, index, width, (kind, starts, ends) = template_windows(data, at, wide=reading == 1, tokens=tokens)
                     sums = _sums(hashed, first)
                     sel = np.arange(len(hashed)) if wanted is None else np.flatnonzero(_among(hashed, wanted.value))
                     doc = np.searchsorted(first, sel, "right") - 1
@@ -207,9 +232,9 @@ def _windows(texts: DataFrame, key: str, wanted=None) -> DataFrame:
                     plain = sums
                     slots, spots = [], []
                     for w, d, full in zip(sel, doc, templated[sel]):
-                        tokens = range(index[w], index[w] + width[w]) if full else ()
-                        spots.append([i - index[first[d]] for i in tokens if kind[i]])
-                        slots.append([f"{kind[i]}{data[starts[i]:ends[i]].tobytes().decode('utf-8', 'replace')}" for i in tokens if kind[i]])
+                        held = range(index[w], index[w] + width[w]) if full else ()
+                        spots.append([i - index[first[d]] for i in held if kind[i]])
+                        slots.append([f"{kind[i]}{data[starts[i]:ends[i]].tobytes().decode('utf-8', 'replace')}" for i in held if kind[i]])
                     yield pa.RecordBatch.from_arrays(
                         [
                             b.column(key).take(pa.array(doc)),

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from brinelink.llm import templates
+from brinelink.llm import textarrays as ta
 from brinelink.llm.common import table
 from brinelink.llm.templates import canonical, contaminated
 
@@ -124,3 +126,14 @@ def test_recall_of_items_asked_again(spark, docs_of):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(again + other), bench(spark, items)).collect()}
     assert sum((i, i) in got for i, _ in items) >= 180
     assert not [d for d, _ in got if d >= 1000]
+
+
+def test_both_readings_start_from_the_same_tokens():
+    """Words and hashes are made once for the two readings, which leave them as they are."""
+    texts = ["Anna Maria Bell paid $30 for 12 km. Anna went on to New York with 5kg of rice", "", "one", "so Ökonom Östen\nÖsten said 3 miles"]
+    data, at = ta.utf8(pa.array(texts))
+    shared = templates.tokens_of(data, at)
+    for wide in (False, True, False):
+        alone, both = (templates.template_windows(data, at, wide=wide, tokens=t) for t in (None, shared))
+        for a, b in zip([*alone[:-1], *alone[-1]], [*both[:-1], *both[-1]], strict=True):
+            assert np.array_equal(a, b)
