@@ -46,3 +46,18 @@ def test_history_is_that_of_a_plain_loop(rows, data, tasks, monkeypatch):
 def test_needs_both_sides(rows):
     with pytest.raises(ValueError):
         network.train_network(rows.where("partition = 'train'"), ["a", "b"], "y", tasks=2)
+
+
+def test_layers_are_computed_for_a_slice_of_rows_at_a_time(data, monkeypatch):
+    x, y, _ = data
+    net = network.new_network(2)
+    whole = net._slice_gradient(x, y)
+    sizes, forward, part = [], network.Network.forward, network.Network._slice_gradient
+    monkeypatch.setattr(network.Network, "forward", lambda self, x: (sizes.append(len(x)), forward(self, x))[1])
+    monkeypatch.setattr(network.Network, "_slice_gradient", lambda self, x, y: (sizes.append(len(x)), part(self, x, y))[1])
+    loss, gradient = net.loss_gradient(x, y)
+    assert loss == pytest.approx(whole[0], rel=1e-12)
+    np.testing.assert_allclose(gradient, whole[1], rtol=1e-9, atol=1e-9)
+    error = forward(net, x) - y
+    assert net.squared_error(x, y) == pytest.approx(error @ error, rel=1e-12)
+    assert len(sizes) == 6 and max(sizes) == network.SLICE
