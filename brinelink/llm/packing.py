@@ -19,7 +19,9 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,12 +37,15 @@ SLOT = 128
 #: Slots that one task orders.
 SLOTS_PER_BUCKET = 100_000
 #: Pieces that a Python worker remembers, up to twice.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Words that are coded in one text.
+JOINED = 1000
 
 # also a zero byte, which marks first pieces below
 _not_a_cut = re.compile(r" (?:[\s\x00]|$)")
 _word_and_symbols = re.compile(r"(\x00?\w*[^\W\d_])([^\w\s\x00]+)")
 _ids: dict[str, ta.Memory] = {}
+_marked: dict[tuple[str, str], np.ndarray] = {}
 
 
 def _parts(piece: str) -> list[str]:
@@ -48,6 +53,12 @@ def _parts(piece: str) -> list[str]:
 
     These are a single line break between visible characters, and the step from a letter to symbols up to the end.
     """
+    # most are a word and its punctuation, perhaps with the next line's first word
+    line, broken, after = piece.partition("\n")
+    word = line.rstrip(punctuation)
+    if word.isalpha() and (after.isalpha() or not broken):
+        out = [word, "\x00" + line[len(word) :]] if len(word) < len(line) else [word]
+        return [*out, "\x00\n", "\x00" + after] if broken else out
     lines = piece.split("\n") if "\n" in piece else [piece]
     if len(lines) > 1 and not all(x.strip("\x00") and not x[0].isspace() and not x[-1].isspace() for x in lines):
         return [piece]
@@ -61,6 +72,33 @@ def _parts(piece: str) -> list[str]:
     return out
 
 
+def _word_ids(words: list[str], mark: str, spec: str) -> list[bytes]:
+    """Ids of words of letters alone, coded many in one text.
+
+    ``mark`` stands before each: a space, which belongs to the word, or a line break, which does not. No word holds either, so the
+    ids of each begin with the mark.
+    """
+    tokenizer = tokenizer_of(spec)
+    if (spec, mark) not in _marked:
+        byte = "\u0120" if mark == " " else "\u010a"  # as byte-level vocabularies write them
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        _marked[spec, mark] = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        _marked[spec, mark][[i for token, i in vocabulary.items() if token[:1] == byte]] = True
+    skip = int(mark != " ")
+    groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+    out: list[bytes] = []
+    for group, coded in zip(groups, tokenizer.encode_batch_fast([mark + mark.join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(coded.ids, np.uint32)
+        at = np.flatnonzero(_marked[spec, mark][ids])
+        if len(at) == len(group) and at[0] == 0:
+            data, ends = ids.tobytes(), np.append(at, len(ids)) * 4
+            out += [data[a:b] for a, b in zip((ends[:-1] + 4 * skip).tolist(), ends[1:].tolist())]
+        else:  # not a byte-level vocabulary
+            alone = tokenizer.encode_batch_fast([w if skip else mark + w for w in group], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in alone]
+    return out
+
+
 def text_ids(texts: list[str], spec: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -69,12 +107,19 @@ def text_ids(texts: list[str], spec: str) -> list[bytes]:
     """
 
     def code(new: list[str], known: dict[str, bytes]) -> None:
-        split = [_parts(p) for p in new]
-        pieces = [c for c in set().union(*split) if c not in known]
+        mixed = [p for p in new if not p.isalpha()]
+        split = [_parts(p) for p in mixed]
+        pieces = [c for c in set().union(*split, filter(str.isalpha, new)) if c not in known]
+        words = list(filter(str.isalpha, pieces))
+        known.update(zip(words, _word_ids(words, " ", spec)))
+        pieces = [p for p in pieces if not p.isalpha()]
+        words = [p for p in pieces if p[:1] == "\x00" and p[1:].isalpha()]
+        known.update(zip(words, _word_ids([p[1:] for p in words], "\n", spec)))
+        pieces = [c for c in pieces if c not in known]
         whole = [p[1:] if p[:1] == "\x00" else " " + p for p in pieces]
         coded = tokenizer_of(spec).encode_batch_fast(whole, add_special_tokens=False)
         known.update((p, array("I", e.ids).tobytes()) for p, e in zip(pieces, coded))
-        known.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(new, split) if len(c) > 1)
+        known.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(mixed, split) if len(c) > 1)
 
     cut: list[list[str]] = []
     for text in texts:

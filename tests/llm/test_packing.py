@@ -87,3 +87,37 @@ def test_targets(docs_of):
     verify([p[:2] for p in pairs], got)
     first = [r for r in got if r.sequence_id < 4]
     assert sum(r.length for r in first if r.source == "a") == pytest.approx(4 * 1024, abs=256)
+
+
+def test_new_words_are_coded_many_at_a_time(monkeypatch):
+    from brinelink.llm import packing, token_counts
+
+    spec = open(PATH, encoding="utf-8").read()
+    real, given = token_counts.tokenizer_of(spec), []
+
+    class Counting:
+        get_vocab = real.get_vocab
+
+        def encode_batch_fast(self, texts, **how):
+            given.append(len(texts))
+            return real.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(packing, "tokenizer_of", lambda spec: Counting())
+    packing._ids.clear()
+    words = [f"{a}{b}{c}{d}" for a in "Kéßk" for b in "漢eioǆ" for c in "xaªb" for d in ("", "rst", "ﬁ", "ё")]
+    texts = [" ".join(words[i::7]) + end for i, end in enumerate([",", ".\nOr", "!\n\nx", "'s ", "\n", "\x00", " <|endoftext|>."])]
+    texts += [f"{w}.\n{w}, {w}'s" for w in words]
+    ids = packing.text_ids(texts, spec)
+    expected = [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in ids] == expected
+    assert sum(given) < 2.5 * len(words)  # the first words of texts are coded singly, and so are oddities
+
+
+def test_vocabulary_without_marks_for_spaces():
+    from tokenizers import models, pre_tokenizers
+
+    from brinelink.llm import packing
+
+    plain = Tokenizer(models.WordLevel({"ab": 0, "c": 1, "?": 2}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    assert packing.text_ids(["c ab ab d"], plain.to_str()) == [struct.pack("<4I", 1, 0, 0, 2)]
