@@ -109,3 +109,21 @@ def test_odd_rows(spark, sf, docs_of, monkeypatch):
     empty = docs.where("false")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_a_stage_goes_when_the_next_is_stored(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    seen = []
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            seen.append(docs)
+            return docs
+
+        return name, run
+
+    monkeypatch.setattr(cp, "table", lambda *_: rows)
+    monkeypatch.setattr(cp, "STAGES", [stage(x) for x in "abcd"])
+    assert cp.run(spark, "").collect() == [(1, "a")]
+    there = [spark._jvm.java.io.File(d.stored_at).exists() for d in seen[1:]]
+    assert there == [False, False, True]
