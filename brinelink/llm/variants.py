@@ -9,6 +9,7 @@ pair shares one, nothing is left to chance.
 Words of equal length must besides agree in their first or in their second half, as one replaced
 letter lies in one of them; the half goes into the signature and keeps buckets short. Words meet in an equi-join on a hash
 of the signature and are verified by their edit distance before a pair leaves the join.
+Nothing is broadcast: Spark takes the signatures for as large as the words before they were spread over sixteen rows each.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         & ((F.length("l.word") < F.length("r.word")) | ((F.length("l.word") == F.length("r.word")) & (F.col("l.word") < F.col("r.word"))))
         & (F.levenshtein("l.word", "r.word", 1) == 1)
     )
-    pairs = left.join(right, fits).select(F.col("l.word").alias("a"), F.col("l.n").alias("an"), F.col("r.word").alias("b"), F.col("r.n").alias("bn"))
+    pairs = left.join(right.hint("merge"), fits).select(F.col("l.word").alias("a"), F.col("l.n").alias("an"), F.col("r.word").alias("b"), F.col("r.n").alias("bn"))
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("near"), F.col("bn").alias("near_n")),
                              F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("near"), F.col("an").alias("near_n"))))
     # a pair shares several signatures
@@ -100,7 +101,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = state.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        ahead = state.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        ahead = state.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         ahead = stored(ahead, "roots")
         if ahead.where("moved").isEmpty():
             return ahead.select("word", "root")
@@ -132,8 +133,8 @@ def spelling_variants(docs: DataFrame, every: int = 199, length: int = 6, often:
     near = stored(near, "near")
     ends = roots(near.where("form is not null"))
     return (
-        words.join(near, "word", "left")
-        .join(ends, "word", "left")
+        words.join(near.hint("merge"), "word", "left")
+        .join(ends.hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
     )
 

@@ -59,6 +59,15 @@ def test_pairs_are_those_of_all_pairs(spark):
     assert all((r.n, r.near_n) == (len(r.word), len(r.near)) for r in got)
 
 
+def test_nothing_is_broadcast(spark, docs_of):
+    """A small file of words is a large table of signatures."""
+    words = spark.createDataFrame([("abcdef", 1), ("abcdeg", 2)], "word string, n long")
+    plans = [near_pairs(words), roots(words.selectExpr("word", "word || 'x' form")), spelling_variants(docs_of([(1, "abcdef " * 9)]))]
+    for plan in plans:
+        plan.collect()
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_roots_follow_long_chains(spark):
     chain = [(f"w{i}", f"w{i + 1}") for i in range(37)] + [("x", "w5"), ("y", "z")]
     got = {r.word: r.root for r in roots(spark.createDataFrame(chain, "word string, form string")).collect()}
