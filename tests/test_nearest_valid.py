@@ -1,5 +1,7 @@
 """Branch and bound over place, time and value against brute force, and how much of a crowded cell is met."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,29 @@ def test_a_crowded_cell_is_met_in_summaries(spark, monkeypatch):
         assert found(spark, queries, points, 40.0, hot_cell=16) == brute(queries, points, 40.0)
         most.append(max(met))
     assert most[1] <= 2 * most[0] and most[1] <= 250 * len(queries)
+
+
+def test_points_are_kept_once_and_rounds_leave_nothing(spark, monkeypatch):
+    """Each point stays with one small cell, whatever the number of rounds, and the summaries of a round go with it."""
+    met, kept = [], []
+    measure, cut = nv._measure, nv.cut_lineage
+
+    def counted(asked, located, *rest):
+        met.append(located.count())
+        return measure(asked, located, *rest)
+
+    def noted(df):
+        kept.append((cut(df), df.columns))
+        return kept[-1][0]
+
+    monkeypatch.setattr(nv, "_measure", counted)
+    monkeypatch.setattr(nv, "cut_lineage", noted)
+    rng = np.random.default_rng(2)
+    m = 3_000
+    queries = [(i, 12.5 + 0.01 * i, 7.5, 100 * i, 30.0 + i) for i in range(10)]
+    spread = zip(rng.uniform(12, 13, m), rng.uniform(7, 8, m), rng.integers(0, 1000, m), rng.uniform(30, 40, m))
+    points = [(float(a), float(b), int(t), float(v), i) for i, (a, b, t, v) in enumerate(spread)]
+    assert found(spark, queries, points, 40.0, hot_cell=16) == brute(queries, points, 40.0)
+    assert len(met) >= 6 and sum(met) <= 2 * m  # once for the bound, once for the hits
+    rounds = [out.inputFiles() for out, columns in kept if "disc" in columns or "settled" in columns]
+    assert len(rounds) >= 4 and not any(os.path.exists(f.removeprefix("file:")) for files in rounds for f in files)
